@@ -32,3 +32,24 @@ def register(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Temp views of the named tables, so that SQL text can use them."""
     for n in names:
         table(spark, sf_dir, n).createOrReplaceTempView(n)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give Python workers this package, once per application, so that it need not be installed on executors."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        top = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="larkspan-")) / "larkspan_pkg.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        sc.addPyFile(str(target))
+        _SHIPPED.add(sc.applicationId)
+    return spark
