@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import chat
+from larkspan.session import ship
+from larkspan.llm import chat, language, licences, media
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -15,7 +18,7 @@ def query(name: str, sql: str | None = None):
     """Decorator that registers fn(spark, sf_dir)."""
 
     def put(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = wraps(fn)(lambda spark, sf_dir: fn(ship(spark), sf_dir))
         if sql:
             ORACLE[name] = sql
         return fn
@@ -64,3 +67,23 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@query("op1_licence_scan")
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence places, labels and score of every document."""
+    return licences.scan_licences(_table(spark, sf_dir, "documents"))
+
+
+@query("op10_media_columns")
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a Netpbm or BMP file and read back; digests of both, tile and difference hash."""
+    images = media.text_images(_table(spark, sf_dir, "documents"))
+    return images.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_format", F.sha2("tile_npy", 256).alias("tile_sha256"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
