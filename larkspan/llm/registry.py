@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.session import ship
-from larkspan.llm import chat, language, licences, media
+from larkspan.llm import chat, language, licences, media, neardup
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -87,3 +87,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     docs = _table(spark, sf_dir, "documents")
     return language.identify(docs, language.train(docs))
+
+
+@query("op6_near_dedup")
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents at 0.85 over 5-word shingles."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
