@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.session import ship
-from larkspan.llm import chat, language, licences, media, neardup
+from larkspan.llm import chat, language, licences, media, neardup, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -93,3 +93,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents at 0.85 over 5-word shingles."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op7_warc_normalise",
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        w AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS winner FROM p)
+      SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+        array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+          substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, CAST(g * 5 + 1 AS INT), 5) AS INT) >> s) & 31) + 1, 1)), '')), '') AS payload_digest,
+        CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id = winner THEN NULL ELSE winner END AS refers_to
+      FROM w""",
+)
+def op7_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived, normalised and read back."""
+    return warc.archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
