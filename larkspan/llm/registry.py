@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.session import ship
-from larkspan.llm import chat, language, licences, media, neardup, warc
+from larkspan.llm import chat, language, licences, media, mixing, neardup, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -109,3 +109,9 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages archived, normalised and read back."""
     return warc.archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_mix_sources")
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 150 % of their words at weights 3, 1, 2."""
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
