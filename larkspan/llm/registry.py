@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.session import ship
-from larkspan.llm import chat, language, licences, media, mixing, neardup, warc
+from larkspan.llm import chat, decontaminate, language, licences, media, mixing, neardup, substrings, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -115,3 +115,35 @@ def op7_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words at weights 3, 1, 2."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text less repeated sentence spans."""
+    out = substrings.dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", "_cut.sentences_removed", "_cut.words_removed")
+
+
+def _words_sql(column: str) -> str:
+    """DuckDB: list of the words with A-Z lower-cased."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"list_filter(regexp_split_to_array(translate(coalesce({column}, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+@query(
+    "op3_decontaminate",
+    f"""WITH b AS (SELECT item_id, {_words_sql("text")} AS w FROM benchmark),
+        d AS (SELECT doc_id, {_words_sql("text")} AS w FROM documents),
+        bs AS (SELECT DISTINCT item_id, least(5, len(w)) AS k, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS s
+               FROM (SELECT *, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+        ks AS (SELECT DISTINCT k FROM bs),
+        ds AS (SELECT DISTINCT doc_id, k, array_to_string(w[i : i + k - 1], ' ') AS s
+               FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
+        n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
+        m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM bs JOIN ds USING (k, s) GROUP BY ALL)
+      SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
+      FROM m JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_shingles""",
+)
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item with containment of 0.8 or more."""
+    return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
