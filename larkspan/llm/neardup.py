@@ -218,7 +218,8 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", k: i
     sizes = family.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
     blocks = sizes.select("family", F.greatest(F.ceil(F.col("n") / block_sets), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = family.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("set_key", F.lit("block")), F.col("blocks")).cast("int"))
-    dealt = dealt.join(docs, dealt["rep"].eqNullSafe(docs["doc_id"])).select("family", "set_key", "text", "blocks", "block")
+    # always by a shuffle of the texts: the members grow with the corpus, and so the plan is the same at every size
+    dealt = dealt.join(docs.hint("merge"), dealt["rep"].eqNullSafe(docs["doc_id"])).select("family", "set_key", "text", "blocks", "block")
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")))
     dealt = dealt.select("family", "set_key", "text", "block", F.explode(others).alias("other"))
     dealt = dealt.select("family", "set_key", "text", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
