@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.textkernel import mix, shingles, words, words_of
+from larkspan.llm.textkernel import mix, shingles, words
 
 _U = np.uint64
 _SEED = _U(0xA24BAED4963EE407)
@@ -34,11 +34,12 @@ class Index:
         self.threshold, self.items = threshold, []
         tables: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for item_id, text in items:
-            n = len(words_of(text))
+            w = next(words(pa.array([text], pa.large_string())))
+            n = len(w.hashes)
             if not n:
                 continue
             width = min(k, n)
-            s = np.unique(words_of(text, width))
+            s = np.unique(shingles(w.hashes, w.offsets, width)[0])
             number = len(self.items)
             self.items.append((item_id, s))
             part = max(0, int(len(s) - 1).bit_length())
@@ -127,16 +128,21 @@ def find_items(df: DataFrame, items: DataFrame, doc: str = "doc_id", text: str =
     return out
 
 
+def _hit(shared):
+    """UDF(text): does it contain an item of the broadcast index?"""
+
+    def hit(texts: pa.Array) -> pa.Array:
+        out = np.zeros(len(texts), bool)
+        for r, _, _ in shared.value.search(texts):
+            out[r] = True
+        return pa.array(out)
+
+    return F.arrow_udf(hit, "boolean")
+
+
 def drop_contaminated(df: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = 0.8, k: int = 5) -> DataFrame:
     """df without the rows whose text contains an item; no shuffle, all columns kept."""
     for index in _blocks(items, item, item_text, threshold, k):
-        shared = df.sparkSession.sparkContext.broadcast(index)
-
-        def hit(texts: pa.Array, shared=shared) -> pa.Array:
-            out = np.zeros(len(texts), bool)
-            for r, _, _ in shared.value.search(texts):
-                out[r] = True
-            return pa.array(out)
-
-        df = df.filter(~F.arrow_udf(hit, "boolean")(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+        hit = _hit(df.sparkSession.sparkContext.broadcast(index))
+        df = df.filter(~hit(F.coalesce(F.col(text).cast("string"), F.lit(""))))
     return df

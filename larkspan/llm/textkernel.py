@@ -164,7 +164,6 @@ def shingles(h: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray
     return mix(acc), out
 
 
-def words_of(text: str | None, k: int = 1) -> np.ndarray:
-    """Hashes of the words (k = 1) or of the runs of k words of one text."""
-    w = next(words(pa.array([text], pa.large_string())))
-    return w.hashes if k == 1 else shingles(w.hashes, w.offsets, k)[0]
+def words_of(text: str | None) -> np.ndarray:
+    """Hashes of the words of one text."""
+    return next(words(pa.array([text], pa.large_string()))).hashes
