@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.session import ship
-from larkspan.llm import chat, decontaminate, language, licences, media, mixing, neardup, substrings, warc
+from larkspan.llm import chat, decontaminate, kneserney, language, licences, media, mixing, neardup, substrings, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -147,3 +147,11 @@ def _words_sql(column: str) -> str:
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item with containment of 0.8 or more."""
     return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_lm_scores")
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under a bigram model of the documents that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kneserney.train(docs.filter(~kneserney.held_out_column()))
+    return kneserney.score(docs, model, kneserney.held_out_column())
