@@ -222,3 +222,23 @@ def identify(df: DataFrame, model: Model, doc: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(names, pa.string()), pa.array(score), pa.array(np.where(ok, rate, 0.0))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return df.select(F.col(doc).cast("long").alias("doc_id"), (remainder(doc, 4) == 2).alias("held_out"), F.col(text).cast("string").alias("text")).mapInArrow(work, SCHEMA)
+
+
+#: Bits per byte of the uniform code; a text that no learned language codes in fewer is in none of them.
+UNIFORM = 8.0
+
+
+def keep_identified(df: DataFrame, model: Model, text: str = "text", most_bits: float = UNIFORM) -> DataFrame:
+    """df without the rows that are `und` or cost more than `most_bits` per byte in every language; no shuffle, all columns kept."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def known(texts: pa.Array) -> pa.Array:
+        m = shared.value
+        data, bounds = text_buffer(texts)
+        if not m.languages:
+            return pa.array(np.zeros(len(texts), bool))
+        rate = m.lengths(data, bounds).min(axis=1) / np.maximum(np.diff(bounds), 1)
+        letter = np.array([bool(t and _LETTER.search(t)) for t in texts.to_pylist()], bool)
+        return pa.array(letter & (rate <= most_bits))
+
+    return df.filter(F.arrow_udf(known, "boolean")(F.col(text).cast("string")))

@@ -88,7 +88,7 @@ def set_keys(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return combine([sums[offsets[1:]] - sums[offsets[:-1]], np.diff(offsets).astype(_U)], 7)
 
 
-SIGNED = "doc_id long, n_shingles long, set_key long, bands array<long>"
+SIGNED = "doc_id long, text_hash long, n_shingles long, set_key long, bands array<long>"
 
 
 def sign(df: DataFrame, doc: str, text: str, k: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -97,7 +97,7 @@ def sign(df: DataFrame, doc: str, text: str, k: int = 5, bands: int = BANDS, row
     def work(batches):
         for b in batches:
             n, key, band = [], [], []
-            for w in words(b.column(1)):
+            for w in words(b.column(2)):
                 s, o = distinct_sets(*shingles(w.hashes, w.offsets, k))
                 sig = superminhash(s, o, bands * rows)
                 size = np.diff(o)
@@ -108,9 +108,10 @@ def sign(df: DataFrame, doc: str, text: str, k: int = 5, bands: int = BANDS, row
                 continue
             size, key, band = np.concatenate(n), np.concatenate(key).view(np.int64), np.concatenate(band).view(np.int64)
             off = pa.array(np.arange(0, len(size) * bands + 1, bands, dtype=np.int32), mask=np.append(size == 0, False))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int64)), pa.array(key, mask=size == 0), pa.ListArray.from_arrays(off, pa.array(band.ravel()))], names=["doc_id", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size.astype(np.int64)), pa.array(key, mask=size == 0), pa.ListArray.from_arrays(off, pa.array(band.ravel()))], names=["doc_id", "text_hash", "n_shingles", "set_key", "bands"])
 
-    return df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(work, SIGNED)
+    content = F.col(text).cast("string")
+    return df.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(content).alias("text_hash"), content.alias("text")).mapInArrow(work, SIGNED)
 
 
 def _links(h: np.ndarray, offsets: np.ndarray, percent: int) -> np.ndarray:
@@ -194,7 +195,7 @@ def _verify(members: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """One row per row of df: doc_id, n_shingles, component_id, kept.
+    """One row per row of df: doc_id, text_hash, n_shingles, component_id, kept.
 
     Texts are linked if 100 * |intersection| >= percent * |union| of their sets
     of k-word shingles. A text without words (or null) is linked with nothing;
@@ -228,6 +229,21 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", k: i
     named = sets.select("set_key", "rep").join(trees, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
     named = named.join(least, "root").select("set_key", "component")
-    out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_representatives(df: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """df with one document of each group; all columns kept.
+
+    Rows that repeat both id and text count as one, rows without an id stay
+    unless a row with an id is linked to them.
+    """
+    verdict = materialize(near_duplicates(df, doc, text, **options).filter("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")), "neardup-kept")
+    v = verdict.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
+    key = F.xxhash64(F.col(text).cast("string"))
+    out = df.join(v, F.col(doc).cast("long").eqNullSafe(F.col("_kept_id")) & (key == F.col("_kept_hash")), "left_semi")
+    if verdict.filter("n > 1").limit(1).count():
+        out = out.withColumn("_kept_hash", key).dropDuplicates([doc, "_kept_hash"]).drop("_kept_hash")
+    return out

@@ -92,7 +92,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_near_dedup")
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents at 0.85 over 5-word shingles."""
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 @query(
@@ -114,7 +114,7 @@ def op7_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_mix_sources")
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words at weights 3, 1, 2."""
-    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 @query("op5_substring_dedup")
