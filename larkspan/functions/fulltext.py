@@ -198,7 +198,7 @@ def matches(vector, query: Node | None) -> Column:
         ends = _positions(v, query.parts[0])
         for gap, part in zip(query.gaps, query.parts[1:]):
             here = _positions(v, part)
-            ends = F.array_intersect(F.transform(ends, lambda p, gap=gap: p + gap), here)
+            ends = F.array_intersect(_shift(ends, gap), here)
         return F.size(ends) > 0
     out = matches(v, query.parts[0])
     for p in query.parts[1:]:
@@ -206,6 +206,10 @@ def matches(vector, query: Node | None) -> Column:
     return out
 
 
+def _shift(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda p: p + by)
+
+
 def _positions(v: Column, node: Node) -> Column:
     if node.op != "lexeme":
         raise ValueError("phrases are made of single lexemes")
