@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkspan.functions.strings import col
+from larkspan.functions.strings import bind, col
 
 # English stop words.
 STOP_WORDS = (
@@ -53,8 +53,15 @@ def to_tsvector(text, config: str = "english") -> Column:
     placed = F.filter(placed, lambda s: F.length(s["w"]) >= 2)
     if config == "english":
         placed = F.transform(F.filter(placed, lambda s: ~s["w"].isin(*STOP_WORDS)), lambda s: F.struct(stem(s["w"]).alias("w"), s["p"].alias("p")))
-    lexemes = F.array_sort(F.array_distinct(F.transform(placed, lambda s: s["w"])))
-    return F.map_from_entries(F.transform(lexemes, lambda x: F.struct(x.alias("key"), F.transform(F.filter(placed, lambda s: s["w"] == x), lambda s: s["p"]).alias("value"))))
+    def grouped(p: Column) -> Column:
+        """Sorted (w, p): a new lexeme begins where w changes, and its positions are a slice."""
+        n = F.size(p)
+        begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(p, i - 1)["w"] != F.get(p, i - 2)["w"]))
+        entry = lambda b: F.transform(b, lambda i, k: F.struct(F.get(p, i - 1)["w"].alias("key"), F.transform(F.slice(p, i, F.coalesce(F.get(b, k + 1), n + 1) - i), lambda s: s["p"]).alias("value")))
+        empty = F.slice(F.array(F.struct(F.lit("").alias("key"), F.array(F.lit(0)).alias("value"))), 1, 0)
+        return F.when(n > 0, bind(begins, entry)).otherwise(F.when(p.isNotNull(), empty))
+
+    return F.map_from_entries(bind(F.array_sort(placed), grouped))
 
 
 @dataclass(frozen=True)

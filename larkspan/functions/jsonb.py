@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkspan.functions.strings import col
+from larkspan.functions.strings import bind, col
 
 _MAP, _LIST = "map<string,variant>", "array<variant>"
 
@@ -83,7 +83,7 @@ def has_all(j, wanted: list[str]) -> Column:
 def entries(j) -> Column:
     """Entries (key, value as JSON text) of an object in key order."""
     fields = F.from_json(col(j), _MAP)
-    return F.transform(F.sort_array(keys(j)), lambda k: F.struct(k.alias("key"), F.to_json(F.element_at(fields, k)).alias("value")))
+    return bind(fields, lambda m: F.transform(F.sort_array(F.map_keys(m)), lambda k: F.struct(k.alias("key"), F.to_json(F.element_at(m, k)).alias("value"))))
 
 
 def elements(j) -> Column:

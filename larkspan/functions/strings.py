@@ -13,6 +13,11 @@ def col(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def bind(x, fn) -> Column:
+    """fn(x) with x computed once, also where fn uses it inside lambdas."""
+    return F.get(F.transform(F.array(x), fn), F.lit(0))
+
+
 def concat(*parts) -> Column:
     """concat(): NULL arguments are skipped."""
     return F.concat_ws("", *[col(p).cast("string") for p in parts])
