@@ -156,6 +156,7 @@ def dedup_substrings(df: DataFrame, doc: str = "doc_id", text: str = "text", lea
     """
     found = materialize(spans(df, doc, text, least_sentences, least_words), "substring-spans")
     again = found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "i")).alias("origin")).filter("n > 1").select("h", "origin")
+    again = materialize(again, "substring-repeats")  # written, so that a very frequent span can be split in the join
     later = found.join(again, "h").filter((F.col("doc_id") != F.col("origin.doc_id")) | (F.col("i") != F.col("origin.i")))
     lists = later.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.collect_list(F.struct("i", "j", "h")).alias("_cut_spans"))
     lists = materialize(lists, "substring-cuts")
