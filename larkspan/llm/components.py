@@ -69,9 +69,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     step = 0
     while before["n"]:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # least neighbours are written, so that a node with very many edges can be split in the join
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-large-{step}")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, f"{name}-met-{step}")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-small-{step}")
         met = large.join(least, "u")
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         e = materialize(small, f"{name}-{step}")
