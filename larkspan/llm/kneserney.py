@@ -34,7 +34,7 @@ _U = np.uint64
 #: Hashes of the token that ends every text and of the one before its beginning.
 END, BEGIN = (_U(0x0E0D0E0D0E0D0E0D), _U(0x0B0E0B0E0B0E0B0E))
 #: N-grams that a task holds before it sorts and hands on.
-HELD = 1 << 22
+HELD = 1 << 21
 #: Shards that the n-grams of one context are spread over.
 SPREAD = 16
 PART = "kind int, shard int, data binary"
