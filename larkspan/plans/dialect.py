@@ -392,7 +392,10 @@ def _aggregate(name: str, args: list[list[Token]], order: list[list[Token]], dis
             out = f"transform({'sort_array' if order else ''}(collect_list(named_struct({named + ', ' if named else ''}'v', {v}))), s -> s.v)"
         return out if name == "array_agg" else f"to_json({out})"
     if name == "string_agg":
-        inner = f"listagg({'DISTINCT ' * distinct}{shown[0]}, {shown[1]})"
+        if distinct:  # PostgreSQL lets a DISTINCT aggregate be ordered by its argument only
+            down = bool(order) and order[0][-1].low == "desc"
+            return f"nullif(array_join(sort_array(collect_set({shown[0]}), {str(not down).lower()}), {shown[1]}), '')"
+        inner = f"listagg({shown[0]}, {shown[1]})"
         return inner + (f" WITHIN GROUP (ORDER BY {', '.join(text_of(_null_order(o)) for o in order)})" if order else "")
     return None
 
@@ -415,7 +418,7 @@ class Rewriter:
                 body = text_of(out[at:])
                 literal = out[-1] if len(out) - at == 1 and out[-1].kind == "str" else None
                 value = _array_text(literal.text) if literal and kind.startswith("array") and literal.text.strip()[:1] in "{[" else body
-                out[at:] = [raw(f"INTERVAL {show(literal)}" if literal and tokens[i + 1].low == "interval" else f"CAST({value} AS {kind})")]
+                out[at:] = [raw(f"INTERVAL {show(literal)}" if literal and tokens[i + 1].low == "interval" else f"CAST({value} AS {kind})" if literal else self._cast(value, kind))]
                 i += 1 + n
             elif t.kind == "op" and t.text in _OPERATORS and out and not (t.text == "~" and out[-1].kind == "op" and out[-1].text not in (")", "]")) and not (out[-1].kind == "name" and out[-1].low in _KEYWORDS):
                 j = _operand_after(tokens, i + 1)
@@ -474,6 +477,8 @@ class Rewriter:
                     j = closing(tokens, j) + 1 if tokens[j].text == "(" else j + 1
                 out += [raw("ORDER BY"), raw(", ".join(text_of(_null_order(self.rewrite(x))) for x in split_list(tokens[i + 2 : j])))]
                 i = j
+            elif t.low == "lateral" and i + 2 < len(tokens) and tokens[i + 1].kind == "name" and tokens[i + 2].text == "(" and tokens[i + 1].low.startswith("json"):
+                i += 1  # the function's own text says LATERAL
             elif t.kind == "name" and i + 1 < len(tokens) and tokens[i + 1].text == "(" and t.low not in _KEYWORDS | {"values", "cast", "row"} or t.low in ("left", "right") and i + 1 < len(tokens) and tokens[i + 1].text == "(":
                 j = closing(tokens, i + 1)
                 done = self._call(t, tokens[i + 2 : j], tokens[j + 1 :], out)
@@ -483,7 +488,7 @@ class Rewriter:
                 j = closing(tokens, i + 1)
                 inner = tokens[i + 2 : j]
                 k = max(x for x, y in enumerate(inner) if y.low == "as")
-                out.append(raw(f"CAST({text_of(self.rewrite(inner[:k]))} AS {spark_type(inner[k + 1 :])[0]})"))
+                out.append(raw(self._cast(text_of(self.rewrite(inner[:k])), spark_type(inner[k + 1 :])[0])))
                 i = j + 1
             elif t.kind == "op" and t.text == "(":
                 j = closing(tokens, i)
@@ -498,6 +503,11 @@ class Rewriter:
                 i += 1
         return out
 
+    @staticmethod
+    def _cast(body: str, kind: str) -> str:
+        """CAST; to an integer type it rounds, which Spark's own cast does not."""
+        return f"CAST(CAST({body} AS DECIMAL(38, 0)) AS {kind})" if kind in ("int", "bigint", "smallint") else f"CAST({body} AS {kind})"
+
     def _interval(self, s: str) -> str:
         from larkspan.functions.intervals import parse
 

@@ -1,8 +1,8 @@
 """A PostgreSQL-flavoured session over Spark: statements in, DataFrames out.
 
 Tables are DataFrames under a name. A query's text is rewritten to Spark SQL
-and its tables are bound as views, filtered by row policies, in a Spark session
-of the engine's own; Catalyst does the rest. Data changes build a new DataFrame
+and, while it is analysed, the tables that it names stand as temporary views,
+filtered by row policies; Catalyst does the rest. Data changes build a new DataFrame
 for the table; every few changes its lineage is cut by a checkpoint.
 """
 
@@ -47,9 +47,7 @@ CUT_AFTER = 8
 
 class Engine:
     def __init__(self, spark: SparkSession, role: str = "postgres", authority: Authority | None = None):
-        self.spark = spark.newSession()
-        for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-            self.spark.conf.set(k, spark.conf.get(k))
+        self.spark = spark
         self.authority, self.role, self.session_role = authority or Authority(), role, role
         self.tables: dict[str, DataFrame] = {}
         self.views: dict[str, str] = {}
@@ -76,13 +74,9 @@ class Engine:
 
     def add_table(self, name: str, df: DataFrame, owner: str | None = None) -> None:
         """Put a DataFrame under a name."""
-        self.tables[name.lower()] = self._own(df)
+        self.tables[name.lower()] = df
         self.authority.own(name.lower(), owner or self.role)
 
-    def _own(self, df: DataFrame) -> DataFrame:
-        """The same plan in the engine's Spark session."""
-        return df if df.sparkSession is self.spark else DataFrame(df._jdf, self.spark)
-
     def add_trigger(self, name: str, table: str, timing: str, event: str, fn) -> None:
         self.triggers.append(Trigger(name, table.lower(), timing.upper(), event.upper(), fn))
 
@@ -192,8 +186,12 @@ class Engine:
             got = procedures.Script(self).call(f.body, f.params, values)
             return self.spark.createDataFrame([(got,)], f"{f.name} string").select(F.col(f.name).cast(kind)) if got is None or kind == "string" else self.spark.createDataFrame([(got,)], [f.name]).select(F.col(f.name).cast(kind).alias(f.name))
         tokens = self._unqualified(tokens)
-        self._bind(tokens)
-        return self.spark.sql(text_of(self._rewriter().rewrite(tokens)))
+        bound = self._bind(tokens)
+        try:
+            return self.spark.sql(text_of(self._rewriter().rewrite(tokens)))
+        finally:
+            for name in bound:
+                self.spark.catalog.dropTempView(name)
 
     def _unqualified(self, tokens: list[Token]) -> list[Token]:
         """Without schema names; views of information_schema get a name of their own."""
@@ -209,8 +207,9 @@ class Engine:
                 i += 1
         return out
 
-    def _bind(self, tokens: list[Token]) -> None:
-        """Views for the relations that the text may name."""
+    def _bind(self, tokens: list[Token]) -> set[str]:
+        """Views for the relations that the text may name; gives their names."""
+        bound: dict[str, DataFrame] = {}
         defined = {tokens[i].low for i in range(len(tokens) - 2) if tokens[i + 1].low == "as" and tokens[i + 2].text == "(" or tokens[i + 1].text == "(" and i and tokens[i - 1].low in ("with", "recursive")}
         for i, t in enumerate(tokens):
             name = t.text.lower() if t.kind in ("name", "quoted") else ""
@@ -218,13 +217,17 @@ class Engine:
                 continue
             source = i and (tokens[i - 1].low in ("from", "join", "lateral", "only", "using", "table") or tokens[i - 1].text in (",", "("))
             if source and name.startswith("__is_"):
-                catalog.view(self, name[5:]).createOrReplaceTempView(name)
+                bound[name] = catalog.view(self, name[5:])
             elif source and (name in self.tables or name in self.views or name.startswith("pg_") and catalog.known(name)):
-                self.resolve(name).createOrReplaceTempView(name)
+                bound[name] = self.resolve(name)
+        for name, df in bound.items():  # after all are resolved: a view's text binds names of its own
+            df.createOrReplaceTempView(name)
+        found = set(bound)
         for f in self.functions.values():
             inner = lex(f.body) if f.language == "sql" else []
             if inner and any(t.low == f.name for t in tokens):
-                self._bind(inner)
+                found |= self._bind(inner)
+        return found
 
     # ---- data changes ------------------------------------------------------
 
@@ -240,7 +243,7 @@ class Engine:
                     raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
                 sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="larkspan-"))
             df = df.checkpoint()
-        self.tables[name] = self._own(df)
+        self.tables[name] = df
 
     def _fire(self, name: str, timing: str, event: str, rows: DataFrame) -> DataFrame:
         for t in self.triggers:
