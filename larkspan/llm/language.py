@@ -26,7 +26,7 @@ ORDER = 3
 #: Documents per language that the classifier is fitted on, at most about so many, taken by a hash of the id.
 SAMPLE_DOCS = 600
 #: Languages that one model can hold.
-MOST_LANGUAGES = 200
+MOST_LANGUAGES = 64
 WINDOW = 1 << 20
 _FOLD = _LOWER.astype(np.uint8)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -75,13 +75,27 @@ class Table:
         return out
 
 
-def count_contexts(texts, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of all runs of 1 to order+1 bytes in the texts of one language."""
-    keys: list[np.ndarray] = []
+def count_contexts(texts, order: int = ORDER, held: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of all runs of 1 to order+1 bytes in the texts of one language; about `held` keys are in memory besides the result."""
+    keys, counts, new, n = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+
+    def merge():
+        found, c = np.unique(np.concatenate(new), return_counts=True)
+        every, at = np.unique(np.concatenate([keys, found]), return_inverse=True)
+        return every, np.bincount(at, np.concatenate([counts, c]), len(every)).astype(np.int64)
+
     for t in texts:
         data = _FOLD[np.frombuffer(t.encode(), np.uint8)]
-        keys += [_grams(data, n) for n in range(1, order + 2)]
-    return np.unique(np.concatenate(keys), return_counts=True) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        for lo in range(0, len(data), held):
+            for size in range(1, order + 2):
+                new.append(_grams(data[lo : lo + held + size - 1], size))
+                n += len(new[-1])
+            if n > held:
+                keys, counts = merge()
+                new, n = [], 0
+    if new:
+        keys, counts = merge()
+    return keys, counts
 
 
 class Model:

@@ -122,7 +122,7 @@ def ppm_bits(text, counts, order):
 @pytest.mark.parametrize("order", [1, 3, 4])
 def test_code_lengths_match_definition(order):
     train = {"a": ["the cat sat on the mat", "a cat"], "b": ["le chat est là", "x"]}
-    model = language.Model({k: language.count_contexts(v, order) for k, v in train.items()}, order)
+    model = language.Model({k: language.count_contexts(v, order, held=7) for k, v in train.items()}, order)
     trees = {}
     for k, texts in train.items():
         tree = trees[k] = {}
