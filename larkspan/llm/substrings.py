@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ _Q_INV = pow(_Q, -1, 1 << 64)
 #: A run has at least so many sentences and words.
 SENTENCES, WORDS = 2, 16
 #: A sentence of more words is cut after words whose hash says so, wherever it begins.
-LONG = 20
+LONG = 12
 _STOPS = np.isin(np.arange(256), list(b".!?"))
 
 
@@ -39,7 +40,7 @@ def sentences(w: Words, long: int = LONG) -> Sentences:
     """Sentences end at . ! ? before white space, at a line break, and at the end of the text.
 
     In sentences of more than `long` words, every word whose hash is a multiple
-    of 8 is an end as well; a passage in the middle of other words is so cut in
+    of 4 is an end as well; a passage in the middle of other words is so cut in
     the same places wherever it stands.
     """
     n = len(w.hashes)
@@ -50,7 +51,7 @@ def sentences(w: Words, long: int = LONG) -> Sentences:
     end[:-1] |= np.searchsorted(lines, w.starts[1:]) > np.searchsorted(lines, w.ends[:-1])
     end[w.offsets[1:][np.diff(w.offsets) > 0] - 1] = True
     sid = np.cumsum(end) - end
-    end |= (np.bincount(sid)[sid] > long) & (w.hashes & _U(7) == 0)
+    end |= (np.bincount(sid)[sid] > long) & (w.hashes & _U(3) == 0)
     stop = np.flatnonzero(end) + 1
     first = np.concatenate([[0], stop[:-1]])
     return Sentences(first, stop, np.searchsorted(first, w.offsets, "left"))
@@ -61,17 +62,13 @@ def _row_of(s: Sentences) -> np.ndarray:
 
 
 def runs(s: Sentences, least_sentences: int = SENTENCES, least_words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): from each sentence on, and up to each sentence, the shortest run i..j that is long enough."""
-    n = len(s.first)
-    if not n:
+    """(i, j): from each sentence on, the shortest run i..j that is long enough."""
+    if not len(s.first):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    row, at = _row_of(s), np.arange(n)
+    at = np.arange(len(s.first))
     j = np.maximum(at + least_sentences - 1, np.searchsorted(s.end, s.first + least_words, "left"))
-    ahead = j < s.offsets[1:][row]
-    i = np.minimum(at - least_sentences + 1, np.searchsorted(s.first, s.end - least_words, "right") - 1)
-    back = i >= s.offsets[:-1][row]
-    key = np.unique(np.concatenate([at[ahead] * n + j[ahead], i[back] * n + at[back]]))
-    return key // n, key % n
+    whole = j < s.offsets[1:][_row_of(s)]
+    return at[whole], j[whole]
 
 
 def run_hashes(w: Words, s: Sentences, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -112,9 +109,8 @@ def _cut_column(least_sentences: int, least_words: int):
     """UDF(text, found spans) that removes the covered sentences."""
 
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
-        out = list(texts.to_pylist())
-        removed, lost = [0] * len(out), [0] * len(out)
-        hit = np.flatnonzero(np.array([bool(x) for x in found.is_valid().to_pylist()]))
+        removed, lost = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
+        hit, new, changed = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False)), [], np.zeros(len(texts), bool)
         chosen = found.take(pa.array(hit)).to_pylist()
         for w in words(texts.take(pa.array(hit)).cast(pa.large_string())) if len(hit) else ():
             s = sentences(w)
@@ -135,9 +131,11 @@ def _cut_column(least_sentences: int, least_words: int):
                 begin = w.bounds[k - w.first]
                 kept = [w.data[begin : edges[0]].tobytes()] + [w.data[edges[x] : edges[x + 1]].tobytes() for x in np.flatnonzero(~gone)]
                 at = int(hit[k])
-                out[at] = b"".join(kept).decode() if not gone.all() else ""
+                new.append(b"".join(kept).decode() if not gone.all() else "")
+                changed[at] = True
                 removed[at], lost[at] = int(gone.sum()), int((s.end[lo:hi] - s.first[lo:hi])[gone].sum())
-        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(removed, pa.int32()), pa.array(lost, pa.int32())], names=["text", "sentences_removed", "words_removed"])
+        out = pc.replace_with_mask(texts, pa.array(changed), pa.array(new, texts.type))
+        return pa.StructArray.from_arrays([out, pa.array(removed), pa.array(lost)], names=["text", "sentences_removed", "words_removed"])
 
     return F.arrow_udf(cut, CUT)
 
@@ -146,7 +144,7 @@ def dedup_substrings(df: DataFrame, doc: str = "doc_id", text: str = "text", lea
     """df with `text` less its repeated spans, and _cut (text, sentences_removed, words_removed) beside it.
 
     A span is a run of at least `least_sentences` sentences and `least_words`
-    words that begins or ends at any sentence and is no longer than it must be. Words are compared
+    words that begins at any sentence and is no longer than it must be. Words are compared
     with A-Z lower-cased and white space aside. Of all occurrences the one with the smallest
     (doc_id, position) stays, be it in the same document or another; sentences
     covered by any other occurrence go, with the white space behind them. Rows

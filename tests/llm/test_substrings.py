@@ -9,7 +9,7 @@ from larkspan.llm.textkernel import words
 DOCS = "doc_id long, text string, h string, i int, _x int"
 
 
-def split(text, long=20):
+def split(text, long=12):
     """Sentences as lists of (word, start, end) by a plain loop; byte offsets."""
     raw = text.encode()
     found = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw)]
@@ -29,7 +29,7 @@ def split(text, long=20):
         now = []
         for w in s:
             now.append(w)
-            if hashed[w[0]] % 8 == 0:
+            if hashed[w[0]] % 4 == 0:
                 fine.append(now)
                 now = []
         fine += [now] if now else []
@@ -46,11 +46,6 @@ def brute(docs, least_s=2, least_w=16):
                 if sum(map(len, ss[i : j + 1])) >= least_w:
                     got.add((i, j))
                     break
-        for j in range(len(ss)):
-            for i in range(j - least_s + 1, -1, -1):
-                if sum(map(len, ss[i : j + 1])) >= least_w:
-                    got.add((i, j))
-                    break
         for i, j in sorted(got):
             runs.setdefault(tuple(w[0] for s in ss[i : j + 1] for w in s), []).append((d, i, j))
     gone = {}
