@@ -12,20 +12,23 @@ from larkspan.functions.strings import bind, col
 
 # English stop words.
 STOP_WORDS = (
-    "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down during "
+    "a about above after again against all am an and any are as at be because been before being below between both but by can could did do does doing down during "
     "each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself "
-    "no nor not now of off on once only or other our ours ourselves out over own s same she should so some such t than that the their theirs them themselves "
-    "then there these they this those through to too under until up very was we were what when where which while who whom why will with you your yours yourself yourselves"
+    "no nor not now of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them themselves then there "
+    "these they this those through to too under until up very was we were what when where which while who whom why will with would you your yours yourself yourselves"
 ).split()
-# Suffixes in the order in which they are tried, with what takes their place.
-SUFFIXES = (("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("iveness", "ive"), ("ousness", "ous"), ("ingly", ""), ("edly", ""), ("ing", ""), ("ied", "y"), ("ies", "y"), ("ed", ""), ("ly", ""))
+# Suffixes in the order in which they are tried, the length that a word must exceed, and what takes their place.
+SUFFIXES = (
+    ("ies", 4, "y"), ("es", 4, ""), ("ing", 5, ""), ("ly", 4, ""), ("ed", 4, ""), ("er", 4, ""), ("ment", 6, ""), ("ness", 6, ""), ("tion", 6, ""),
+    ("ational", 8, "ate"), ("tional", 7, "tion"), ("iveness", 8, "ive"), ("ousness", 8, "ous"),
+)
 
 
 def stem_word(w: str) -> str:
-    """Light stemmer: trailing s's go, then the first suffix that leaves three letters."""
-    w = w.rstrip("s") or w
-    for suffix, new in SUFFIXES:
-        if w.endswith(suffix) and len(w) - len(suffix) >= 3:
+    """Light stemmer: trailing s's go, then the first suffix of the table that fits."""
+    w = w.rstrip("s")
+    for suffix, longer_than, new in SUFFIXES:
+        if w.endswith(suffix) and len(w) > longer_than:
             return w[: -len(suffix)] + new
     return w
 
@@ -33,10 +36,9 @@ def stem_word(w: str) -> str:
 def stem(w: Column) -> Column:
     """stem_word() as an expression."""
     base = F.regexp_replace(w, "s+$", "")
-    base = F.when(base == "", w).otherwise(base)
     out = None
-    for suffix, new in SUFFIXES:
-        test = base.endswith(suffix) & (F.length(base) - len(suffix) >= 3)
+    for suffix, longer_than, new in SUFFIXES:
+        test = base.endswith(suffix) & (F.length(base) > longer_than)
         value = F.concat(F.substring(base, F.lit(1), F.length(base) - len(suffix)), F.lit(new))
         out = F.when(test, value) if out is None else out.when(test, value)
     return out.otherwise(base)
@@ -50,9 +52,9 @@ def words(text) -> Column:
 def to_tsvector(text, config: str = "english") -> Column:
     """Lexemes of at least two characters with their positions from 1; `simple` neither stems nor drops stop words."""
     placed = F.transform(words(text), lambda w, i: F.struct(w.alias("w"), (i + 1).alias("p")))
-    placed = F.filter(placed, lambda s: F.length(s["w"]) >= 2)
     if config == "english":
         placed = F.transform(F.filter(placed, lambda s: ~s["w"].isin(*STOP_WORDS)), lambda s: F.struct(stem(s["w"]).alias("w"), s["p"].alias("p")))
+    placed = F.filter(placed, lambda s: F.length(s["w"]) >= 2)
     def grouped(p: Column) -> Column:
         """Sorted (w, p): a new lexeme begins where w changes, and its positions are a slice."""
         n = F.size(p)

@@ -126,6 +126,7 @@ def test_fulltext(one):
     v = fulltext.to_tsvector(text)
     m = lambda q, f=fulltext.to_tsquery: fulltext.matches(v, f(q))
     assert one(fulltext.to_text(v)).startswith("'brown':3 'dog':9 'foxe':4 'jump':5")
+    assert [fulltext.stem_word(w) for w in ("cities", "running", "happily", "walked", "dogs", "relational", "ss", "nation")] == ["citie", "runn", "happi", "walk", "dog", "relate", "", "nation"]
     assert one(m("fox & cat"), m("foxes | cat"), m("!cat"), m("quick <-> brown"), m("brown <-> quick"), m("quick <2> foxes")) == (False, True, True, True, False, True)
     assert one(m('"brown foxes" -cat', fulltext.websearch_to_tsquery), m("jumping dogs", fulltext.plainto_tsquery), m("over the lazy", fulltext.phraseto_tsquery)) == (True, True, True)
     assert one(fulltext.ts_rank(v, fulltext.to_tsquery("dog & cat")), fulltext.ts_headline(F.lit("a lazy Dog"), fulltext.to_tsquery("dogs"))) == (0.5, "a lazy <b>Dog</b>")
