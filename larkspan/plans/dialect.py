@@ -12,6 +12,8 @@ import re
 from functools import lru_cache
 from typing import NamedTuple
 
+from larkspan.plans import macros
+
 
 class Token(NamedTuple):
     """kind: str, name, quoted, num, param, op, or raw (finished Spark text)."""
@@ -178,7 +180,8 @@ def _operand_after(tokens: list[Token], i: int) -> int:
     """Index after the primary expression that begins at i."""
     if tokens[i].kind == "op" and tokens[i].text == "-":
         i += 1
-    i = closing(tokens, i) + 1 if tokens[i].text == "(" else i + 1
+    typed = tokens[i].kind == "name" and i + 1 < len(tokens) and tokens[i + 1].kind == "str"
+    i = closing(tokens, i) + 1 if tokens[i].text == "(" else i + 1 + typed
     while i < len(tokens):
         t = tokens[i]
         if t.kind == "op" and t.text in ("(", "["):
@@ -269,7 +272,12 @@ _OPERATORS = {
     "!~~*": lambda a, b: f"({a} NOT ILIKE {b})",
     "^": lambda a, b: f"pow({a}, {b})",
     "#": lambda a, b: f"({a} ^ {b})",
-    "@@": lambda a, b: f"exists({b}, lexeme -> map_contains_key({a}, lexeme))",
+    "@@": lambda a, b: macros.match(a, b),
+    "<<": lambda a, b: f"shiftleft({a}, {b})",
+    ">>": lambda a, b: f"shiftright({a}, {b})",
+    "<<|": lambda a, b: f"(({a}).y2 < ({b}).y1)",
+    "|>>": lambda a, b: f"(({a}).y1 > ({b}).y2)",
+    "-|-": lambda a, b: macros.range_adjacent(a, b),
 }
 
 
@@ -400,6 +408,9 @@ def _aggregate(name: str, args: list[list[Token]], order: list[list[Token]], dis
     return None
 
 
+_FUNCTIONS |= macros.MACROS
+
+
 class Rewriter:
     """One pass over a token list; sub-expressions in brackets are rewritten first."""
 
@@ -418,13 +429,15 @@ class Rewriter:
                 body = text_of(out[at:])
                 literal = out[-1] if len(out) - at == 1 and out[-1].kind == "str" else None
                 value = _array_text(literal.text) if literal and kind.startswith("array") and literal.text.strip()[:1] in "{[" else body
-                out[at:] = [raw(f"INTERVAL {show(literal)}" if literal and tokens[i + 1].low == "interval" else f"CAST({value} AS {kind})" if literal else self._cast(value, kind))]
+                special = literal and macros.cast_literal(tokens[i + 1].low, body)
+                out[at:] = [raw(special) if special else raw(self._interval(literal.text) if literal and tokens[i + 1].low == "interval" else f"CAST({value} AS {kind})" if literal else self._cast(value, kind))]
                 i += 1 + n
             elif t.kind == "op" and t.text in _OPERATORS and out and not (t.text == "~" and out[-1].kind == "op" and out[-1].text not in (")", "]")) and not (out[-1].kind == "name" and out[-1].low in _KEYWORDS):
                 j = _operand_after(tokens, i + 1)
                 right = text_of(self.rewrite(tokens[i + 1 : j]))
                 at = _operand_before(out)
-                out[at:] = [raw(_OPERATORS[t.text](text_of(out[at:]), right))]
+                left = text_of(out[at:])
+                out[at:] = [raw(macros.operator(t.text, left, right) or _OPERATORS[t.text](left, right))]
                 i = j
             elif t.low == "array" and i + 1 < len(tokens) and tokens[i + 1].text == "[":
                 j = closing(tokens, i + 1)
@@ -494,6 +507,9 @@ class Rewriter:
                 j = closing(tokens, i)
                 out += [t, *self.rewrite(tokens[i + 1 : j]), tokens[j]]
                 i = j + 1
+            elif t.low in (*macros.RANGES, "point", "box") and i + 1 < len(tokens) and tokens[i + 1].kind == "str":
+                out.append(raw(macros.cast_literal(t.low, show(tokens[i + 1]))))
+                i += 2
             elif t.low in ("interval", "date", "timestamp") and i + 1 < len(tokens) and tokens[i + 1].kind == "str":
                 s = show(tokens[i + 1])
                 out.append(raw(self._interval(tokens[i + 1].text) if t.low == "interval" else f"DATE {s}" if t.low == "date" else f"TIMESTAMP_NTZ {s}"))
@@ -532,7 +548,7 @@ class Rewriter:
             return [raw(f"({form[low]})")], j + 1
         if low in ("extract",) and len(inner) > 2 and inner[1].low == "from":
             return [raw(date_field((inner[0].text).lower(), text_of(self.rewrite(inner[2:]))))], 0
-        if low in ("position", "overlay", "substring", "trim") and any(x.low in ("in", "placing", "from", "for", "leading", "trailing", "both") for x in inner):
+        if low in ("substring", "trim", "position", "overlay") and any(x.low in ("in", "placing", "from", "for", "leading", "trailing", "both") for x in inner):
             return [raw(f"{low}({text_of(self.rewrite(inner))})")], 0
         if low == "count" and len(inner) == 3 and inner[1].text == "." and inner[2].text == "*":
             return [raw("count(*)")], 0

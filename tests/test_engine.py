@@ -61,6 +61,15 @@ def test_expressions(db):
     assert rows(db.sql("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 4) SELECT sum(n) FROM t")) == [(10,)]
 
 
+def test_rich_types_in_text(db):
+    one = lambda q: rows(db.sql("SELECT " + q))[0]
+    assert one("int4range(1, 5) @> 4, int4range(1, 5) && int4range(5, 9), '[10,20]'::int4range @> int4range(12, 20), isempty(int4range(3, 3)), upper('[10,20]'::int4range), int4range(1, 5) -|- int4range(5, 9), daterange('2024-01-01', '2024-02-01') @> date '2024-01-15', numrange(1.5, 2.5, '(]') << numrange(3, 4)") == (True, False, True, True, 21, True, True, True)
+    assert one("point(1, 2) <-> point(4, 6), box '((0,0),(2,2))' && box(point(1, 1), point(3, 3)), '(0,0),(4,4)'::box @> '(1,1),(2,2)'::box, '(0,0),(1,1)'::box << '(2,2),(3,3)'::box, '(0,0),(1,1)'::box <<| '(2,2),(3,3)'::box") == (5.0, True, True, True, True)
+    assert one("to_tsvector('english', 'The quick brown foxes') @@ to_tsquery('english', 'quick & !cats'), to_tsvector('simple', 'a b1 b2') @@ phraseto_tsquery('simple', 'b1 b2'), to_tsvector('quick fox') @@ plainto_tsquery('cat'), ts_rank(to_tsvector('dogs'), to_tsquery('dog & cat'))") == (True, True, False, 0.5)
+    assert one("format('%s-%L', 1, 'a'), encode('hi', 'hex'), date_bin('15 minutes', timestamp '2024-01-01 10:07:00', timestamp '2000-01-01 00:00:00'), age(timestamp '2001-04-10 00:00:00', timestamp '1957-06-13 00:00:00')::text = '43 years 9 months 27 days', regexp_count('abcabc', 'b'), array_replace(ARRAY[1, 2], 2, 9), array_positions(ARRAY[1, 2, 1], 1), array_fill(0, ARRAY[2, 2]), 5 << 2, regexp_substr('a1b2', '[0-9]', 1, 2)") == ("1-'a'", "6869", datetime.datetime(2024, 1, 1, 10, 0), True, 2, [1, 9], [1, 3], [[0, 0], [0, 0]], 20, "2")
+    assert rows(db.sql("SELECT m[1] FROM (SELECT regexp_matches('a1b2', '[0-9]', 'g') AS m) s ORDER BY 1")) == [("1",), ("2",)]
+
+
 def test_dml_upsert_returning(emp):
     got = rows(emp.sql("UPDATE employees SET salary = salary * 2, name = upper(name) WHERE department = 'Marketing' RETURNING name, salary"))
     assert sorted(got) == [("GRACE", Decimal("140000.00")), ("HENRY", Decimal("144000.00"))]
