@@ -105,35 +105,35 @@ def spans(df: DataFrame, doc: str, text: str, least_sentences: int, least_words:
 CUT = "struct<text string, sentences_removed int, words_removed int>"
 
 
-def _cut_column(least_sentences: int, least_words: int):
+def _cut_column():
     """UDF(text, found spans) that removes the covered sentences."""
 
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
-        removed, lost = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
-        hit, new, changed = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False)), [], np.zeros(len(texts), bool)
-        chosen = found.take(pa.array(hit)).to_pylist()
+        n = pc.fill_null(pc.list_value_length(found), 0).to_numpy().astype(np.int64)
+        at, flat = np.concatenate([[0], np.cumsum(n)]), found.flatten()
+        span_i, span_j, span_h = (pc.struct_field(flat, c).to_numpy() for c in ("i", "j", "h"))
+        removed, lost, changed, new = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32), np.zeros(len(texts), bool), []
+        hit = np.flatnonzero(n)
         for w in words(texts.take(pa.array(hit)).cast(pa.large_string())) if len(hit) else ():
-            s = sentences(w)
-            for k in range(w.first, w.last):
-                lo, hi = s.offsets[k - w.first], s.offsets[k - w.first + 1]
-                spans_ = [(x["i"] + lo, x["j"] + lo, x["h"]) for x in chosen[k] if x["j"] + lo < hi]
-                if not spans_:
-                    continue
-                i, j = (np.array([x[c] for x in spans_]) for c in (0, 1))
-                true = run_hashes(w, s, i, j) == np.array([x[2] for x in spans_])  # an id may stand on several texts
-                gone = np.zeros(hi - lo + 1, np.int64)
-                np.add.at(gone, i[true] - lo, 1)
-                np.add.at(gone, j[true] - lo + 1, -1)
-                gone = np.cumsum(gone)[:-1] > 0
-                if not gone.any():
-                    continue
-                edges = np.append(w.starts[s.first[lo:hi]], w.bounds[k - w.first + 1])
-                begin = w.bounds[k - w.first]
-                kept = [w.data[begin : edges[0]].tobytes()] + [w.data[edges[x] : edges[x + 1]].tobytes() for x in np.flatnonzero(~gone)]
-                at = int(hit[k])
-                new.append(b"".join(kept).decode() if not gone.all() else "")
-                changed[at] = True
-                removed[at], lost[at] = int(gone.sum()), int((s.end[lo:hi] - s.first[lo:hi])[gone].sum())
+            s, rows = sentences(w), hit[w.first : w.last]
+            own = slice(at[rows[0]], at[rows[-1] + 1])  # rows between them have no spans
+            doc = np.repeat(np.arange(len(rows)), n[rows])
+            i, j = span_i[own] + s.offsets[:-1][doc], span_j[own] + s.offsets[:-1][doc]
+            fits = j < s.offsets[1:][doc]
+            i, j, h = i[fits], j[fits], span_h[own][fits]
+            true = run_hashes(w, s, i, j) == h  # an id may stand on several texts
+            depth = np.zeros(len(s.first) + 1, np.int64)
+            np.add.at(depth, i[true], 1)
+            np.add.at(depth, j[true] + 1, -1)
+            gone = np.cumsum(depth)[:-1] > 0
+            size = s.end - s.first
+            for k in np.flatnonzero(np.add.reduceat(np.append(gone, False), np.minimum(s.offsets[:-1], len(gone))) * (np.diff(s.offsets) > 0)):
+                lo, hi = s.offsets[k], s.offsets[k + 1]
+                here = gone[lo:hi]
+                edges = np.append(w.starts[s.first[lo:hi]], w.bounds[k + 1])
+                kept = [w.data[w.bounds[k] : edges[0]].tobytes()] + [w.data[edges[x] : edges[x + 1]].tobytes() for x in np.flatnonzero(~here)]
+                new.append(b"".join(kept).decode() if not here.all() else "")
+                changed[rows[k]], removed[rows[k]], lost[rows[k]] = True, here.sum(), size[lo:hi][here].sum()
         out = pc.replace_with_mask(texts, pa.array(changed), pa.array(new, texts.type))
         return pa.StructArray.from_arrays([out, pa.array(removed), pa.array(lost)], names=["text", "sentences_removed", "words_removed"])
 
@@ -159,6 +159,6 @@ def dedup_substrings(df: DataFrame, doc: str = "doc_id", text: str = "text", lea
     lists = later.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.collect_list(F.struct("i", "j", "h")).alias("_cut_spans"))
     lists = materialize(lists, "substring-cuts")
     joined = df.join(lists, F.col(doc).cast("long") == F.col("_cut_id"), "left")
-    cut = _cut_column(least_sentences, least_words)
+    cut = _cut_column()
     out = joined.withColumn("_cut", cut(F.col(text).cast("string"), F.col("_cut_spans")))
     return out.select(*[F.col("_cut.text").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns], "_cut")
