@@ -152,7 +152,7 @@ def dedup_substrings(df: DataFrame, doc: str = "doc_id", text: str = "text", lea
     id count as one document and keep their equal spans. Every row and column
     of df is kept; an emptied text becomes ''. Hashes have 64 bits.
     """
-    found = materialize(spans(df, doc, text, least_sentences, least_words), "substring-spans")
+    found = spans(df, doc, text, least_sentences, least_words)  # hashed twice: that costs less than to keep all spans
     again = found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "i")).alias("origin")).filter("n > 1").select("h", "origin")
     again = materialize(again, "substring-repeats")  # written, so that a very frequent span can be split in the join
     later = found.join(again, "h").filter((F.col("doc_id") != F.col("origin.doc_id")) | (F.col("i") != F.col("origin.i")))
