@@ -139,11 +139,10 @@ class Model:
     def lengths(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Bits of each text under each language; contexts don't reach over a text's beginning."""
         out = np.zeros((len(bounds) - 1, len(self.languages)))
-        data = _FOLD[data]
         for lo in range(0, len(data), WINDOW):
             hi = min(len(data), lo + WINDOW)
             head = max(0, lo - self.order)
-            cost = self._costs(data[head:hi], lo - head, bounds - head)
+            cost = self._costs(_FOLD[data[head:hi]], lo - head, bounds - head)
             i = np.searchsorted(bounds, lo, "right") - 1
             j = np.searchsorted(bounds, hi, "left")
             own = np.arange(i, j)
@@ -209,6 +208,11 @@ def train(df: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "l
     return Model({r["lang"]: (np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], "<i8")) for r in found}, order)
 
 
+def _lettered(texts: pa.Array) -> np.ndarray:
+    """Which texts have a letter; one text at a time is a Python string."""
+    return np.fromiter((t.is_valid and _LETTER.search(t.as_py()) is not None for t in texts), bool, len(texts))
+
+
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 
 
@@ -227,7 +231,7 @@ def identify(df: DataFrame, model: Model, doc: str = "doc_id", text: str = "text
         for b in batches:
             data, bounds = text_buffer(b.column(2))
             bits = m.lengths(data, bounds) if m.languages else np.zeros((b.num_rows, 1))
-            ok = np.array([bool(m.languages and t and _LETTER.search(t)) for t in b.column(2).to_pylist()], bool)
+            ok = _lettered(b.column(2)) & bool(m.languages)
             best = bits.argmin(axis=1)
             least = bits.min(axis=1)
             score = np.where(ok, 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1), 0.0)
@@ -252,7 +256,6 @@ def keep_identified(df: DataFrame, model: Model, text: str = "text", most_bits:
         if not m.languages:
             return pa.array(np.zeros(len(texts), bool))
         rate = m.lengths(data, bounds).min(axis=1) / np.maximum(np.diff(bounds), 1)
-        letter = np.array([bool(t and _LETTER.search(t)) for t in texts.to_pylist()], bool)
-        return pa.array(letter & (rate <= most_bits))
+        return pa.array(_lettered(texts) & (rate <= most_bits))
 
     return df.filter(F.arrow_udf(known, "boolean")(F.col(text).cast("string")))
