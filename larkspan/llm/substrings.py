@@ -62,13 +62,16 @@ def _row_of(s: Sentences) -> np.ndarray:
 
 
 def runs(s: Sentences, least_sentences: int = SENTENCES, least_words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): from each sentence on, the shortest run i..j that is long enough."""
+    """(i, j): from each sentence on, and up to each sentence, the shortest run i..j that is long enough."""
     if not len(s.first):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    at = np.arange(len(s.first))
+    row, at = _row_of(s), np.arange(len(s.first))
     j = np.maximum(at + least_sentences - 1, np.searchsorted(s.end, s.first + least_words, "left"))
-    whole = j < s.offsets[1:][_row_of(s)]
-    return at[whole], j[whole]
+    ahead = j < s.offsets[1:][row]
+    i = np.minimum(at - least_sentences + 1, np.searchsorted(s.first, s.end - least_words, "right") - 1)
+    back = i >= s.offsets[:-1][row]
+    back &= j[i] != at  # the run from i on is the same
+    return np.concatenate([at[ahead], i[back]]), np.concatenate([j[ahead], at[back]])
 
 
 def run_hashes(w: Words, s: Sentences, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -144,7 +147,7 @@ def dedup_substrings(df: DataFrame, doc: str = "doc_id", text: str = "text", lea
     """df with `text` less its repeated spans, and _cut (text, sentences_removed, words_removed) beside it.
 
     A span is a run of at least `least_sentences` sentences and `least_words`
-    words that begins at any sentence and is no longer than it must be. Words are compared
+    words that begins or ends at any sentence and is no longer than it must be. Words are compared
     with A-Z lower-cased and white space aside. Of all occurrences the one with the smallest
     (doc_id, position) stays, be it in the same document or another; sentences
     covered by any other occurrence go, with the white space behind them. Rows
