@@ -25,7 +25,7 @@ from larkspan.llm.textkernel import _LOWER, text_buffer
 ORDER = 3
 #: Documents per language that the classifier is fitted on, at most about so many, taken by a hash of the id.
 SAMPLE_DOCS = 600
-#: Languages that one model can hold.
+#: Languages in one block of a model; blocks are counted and scored one after another.
 MOST_LANGUAGES = 64
 WINDOW = 1 << 20
 _FOLD = _LOWER.astype(np.uint8)
@@ -99,7 +99,7 @@ def count_contexts(texts, order: int = ORDER, held: int = 1 << 22) -> tuple[np.n
 
 
 class Model:
-    """Frozen code lengths of all languages."""
+    """Frozen code lengths of the languages of one block."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER):
         self.languages, self.order = sorted(counts), order
@@ -184,28 +184,55 @@ class Model:
         return cost[skip:]
 
 
-def train(df: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> Model:
+class Blocks:
+    """Models of any number of languages, in blocks of at most MOST_LANGUAGES by code point."""
+
+    def __init__(self, models: list[Model], order: int = ORDER):
+        self.models, self.order = models, order
+        self.languages = [k for m in models for k in m.languages]
+
+    def shortest(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the first language with the least bits, those bits, and the sum over all languages of 2 ** (least - bits)."""
+        n, before = len(bounds) - 1, 0
+        best, least, total = np.zeros(n, np.int64), np.full(n, np.inf), np.zeros(n)
+        for m in self.models:
+            bits = m.lengths(data, bounds)
+            own = bits.min(axis=1)
+            best = np.where(own < least, before + bits.argmin(axis=1), best)
+            low = np.minimum(least, own)
+            total = total * np.exp2(np.maximum(low - least, -1000)) + np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(axis=1)
+            least, before = low, before + len(m.languages)
+        return best, least, total
+
+
+def _blocks(model: Model | Blocks) -> Blocks:
+    return model if isinstance(model, Blocks) else Blocks([model] if model.languages else [], model.order)
+
+
+def train(df: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> Blocks:
     """Fit on whole texts of about `sample_docs` labelled rows a language (a documented bound), chosen by a hash of the id.
 
     Rows held out (crc32 of the id modulo 4 is 2) and rows without text or
     language are never read. Counting is done for each language in a task of
-    its own; what comes back is bounded by the sample.
+    its own, MOST_LANGUAGES of them at once; what comes back of each is bounded
+    by the sample, so the model grows with the number of languages only.
     """
     known = df.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
-    if not sizes:
-        return Model({}, order)
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     spread = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("ppm")), F.lit(1 << 40))
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(math.ceil((1 << 40) * min(1.0, sample_docs / n)))) for k, n in sizes.items()])
 
     def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys, c = count_contexts(rows["text"], order)
         return pd.DataFrame({"lang": [key[0]], "keys": [keys.tobytes()], "counts": [c.astype("<i8").tobytes()]})
 
-    found = known.filter(spread < share).groupBy("lang").applyInPandas(count, "lang string, keys binary, counts binary").collect()
-    return Model({r["lang"]: (np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], "<i8")) for r in found}, order)
+    models, names = [], sorted(sizes)
+    for lo in range(0, len(names), MOST_LANGUAGES):
+        block = names[lo : lo + MOST_LANGUAGES]
+        share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(math.ceil((1 << 40) * min(1.0, sample_docs / sizes[k])))) for k in block])
+        found = known.filter(spread < share).groupBy("lang").applyInPandas(count, "lang string, keys binary, counts binary").collect()
+        if found:
+            models.append(Model({r["lang"]: (np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], "<i8")) for r in found}, order))
+    return Blocks(models, order)
 
 
 def _lettered(texts: pa.Array) -> np.ndarray:
@@ -216,7 +243,7 @@ def _lettered(texts: pa.Array) -> np.ndarray:
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 
 
-def identify(df: DataFrame, model: Model, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def identify(df: DataFrame, model: Model | Blocks, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: the language with the shortest code, its posterior under equal priors, bits per byte.
 
     `und` with score 0 where the text is null or has no letter, or no language
@@ -224,17 +251,15 @@ def identify(df: DataFrame, model: Model, doc: str = "doc_id", text: str = "text
     equal rows, other columns are ignored, an empty table gives no rows. Every
     byte of every text is scored.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(_blocks(model))
 
     def work(batches):
         m = shared.value
         for b in batches:
             data, bounds = text_buffer(b.column(2))
-            bits = m.lengths(data, bounds) if m.languages else np.zeros((b.num_rows, 1))
+            best, least, total = m.shortest(data, bounds)
             ok = _lettered(b.column(2)) & bool(m.languages)
-            best = bits.argmin(axis=1)
-            least = bits.min(axis=1)
-            score = np.where(ok, 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1), 0.0)
+            score = np.where(ok, 1 / np.where(ok, total, 1.0), 0.0)
             rate = least / np.maximum(np.diff(bounds), 1)
             names = [m.languages[k] if o else "und" for k, o in zip(best, ok)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(names, pa.string()), pa.array(score), pa.array(np.where(ok, rate, 0.0))], names=[x.split()[0] for x in SCHEMA.split(", ")])
@@ -246,16 +271,16 @@ def identify(df: DataFrame, model: Model, doc: str = "doc_id", text: str = "text
 UNIFORM = 8.0
 
 
-def keep_identified(df: DataFrame, model: Model, text: str = "text", most_bits: float = UNIFORM) -> DataFrame:
+def keep_identified(df: DataFrame, model: Model | Blocks, text: str = "text", most_bits: float = UNIFORM) -> DataFrame:
     """df without the rows that are `und` or cost more than `most_bits` per byte in every language; no shuffle, all columns kept."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(_blocks(model))
 
     def known(texts: pa.Array) -> pa.Array:
         m = shared.value
         data, bounds = text_buffer(texts)
         if not m.languages:
             return pa.array(np.zeros(len(texts), bool))
-        rate = m.lengths(data, bounds).min(axis=1) / np.maximum(np.diff(bounds), 1)
+        rate = m.shortest(data, bounds)[1] / np.maximum(np.diff(bounds), 1)
         return pa.array(_lettered(texts) & (rate <= most_bits))
 
     return df.filter(F.arrow_udf(known, "boolean")(F.col(text).cast("string")))
