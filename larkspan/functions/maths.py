@@ -37,6 +37,13 @@ def trunc(x, places: int = 0) -> Column:
     return F.signum(col(x)) * F.floor(F.abs(col(x)) * scale) / scale
 
 
+def round_binary(x, places: int = 0) -> Column:
+    """round() of doubles as binary numbers: half away from zero after scaling, the sign of zero stays."""
+    scale = 10.0**places
+    y = F.abs(col(x)) * scale
+    return F.signum(col(x)) * (F.floor(y) + F.when(y - F.floor(y) >= 0.5, 1).otherwise(0)) / scale
+
+
 def width_bucket(x, lo, hi, n: int) -> Column:
     """width_bucket(): 0 below, n + 1 from hi on; works with bounds in falling order too."""
     x, lo, hi = col(x).cast("double"), F.lit(float(lo)), F.lit(float(hi))

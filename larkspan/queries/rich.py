@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from larkspan.functions import fulltext, geometry, ranges, vectors
+from larkspan.functions import fulltext, geometry, maths, ranges, vectors
 from larkspan.operators import relational as rel
 from larkspan.registry import query
 from larkspan.session import table
@@ -53,8 +53,8 @@ def vector_distances(spark, sf):
 @query("vector_arithmetic", f"SELECT k, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 9) AS n, list_transform(list_zip(v, q), lambda z: round(z[1] + z[2], 6)) AS a, list_transform(v[3:6], lambda x: round(x * 2, 6)) AS s FROM {_V}")
 def vector_arithmetic(spark, sf):
     g = vectors
-    six = lambda c: F.transform(c, lambda x: F.round(x, 6))
-    return _vectors(spark, sf).select("k", F.round(g.l2_norm("v"), 9).alias("n"), six(g.add("v", "q")).alias("a"), six(g.mul(g.subvector("v", 3, 4), 2)).alias("s"))
+    six = lambda c: F.transform(c, lambda x: maths.round_binary(x, 6))
+    return _vectors(spark, sf).select("k", maths.round_binary(g.l2_norm("v"), 9).alias("n"), six(g.add("v", "q")).alias("a"), six(g.mul(g.subvector("v", 3, 4), 2)).alias("s"))
 
 
 @query(

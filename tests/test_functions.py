@@ -49,6 +49,11 @@ def test_maths(one):
         one(maths.parse_bool(F.lit("maybe")))
 
 
+def test_round_binary(one):
+    a, b, c, d, e, n = one(*[maths.round_binary(F.lit(x), 6) for x in (-3e-7, 0.0078125, -0.0078125, 0.4999999e-6, 2.5e-6)], maths.round_binary(F.lit(None).cast("double")))
+    assert math.copysign(1, a) == -1 and (a, b, c, d, e, n) == (0.0, 0.007813, -0.007813, 0.0, 3e-6, None)
+
+
 def test_dates_and_intervals(one):
     t = F.lit("2024-02-29 23:30:15.25")
     assert one(datetimes.date_trunc("decade", t), datetimes.date_trunc("millennium", t), datetimes.date_trunc("week", t)) == (datetime.datetime(2020, 1, 1), datetime.datetime(2001, 1, 1), datetime.datetime(2024, 2, 26))
