@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from larkspan.functions.strings import bind, col
 
 _MAP, _LIST = "map<string,variant>", "array<variant>"
+_KINDS = {"{": "object", "[": "array", '"': "string", "t": "boolean", "f": "boolean", "n": "null"} | dict.fromkeys("-0123456789", "number")
 
 
 def _path(steps) -> str:
@@ -48,17 +49,30 @@ def path_text(j, steps) -> Column:
     return F.when(F.schema_of_variant(v).startswith("OBJECT") | F.schema_of_variant(v).startswith("ARRAY"), F.to_json(v)).otherwise(F.try_variant_get(v, "$", "string"))
 
 
+def _kind(text: Column) -> Column:
+    """Type of a valid JSON text by its first character; no schema is worked out."""
+    kinds = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
+    return F.try_element_at(kinds, F.substring(F.ltrim(text, F.lit(" \t\n\r")), 1, 1))
+
+
 def typeof(j) -> Column:
-    """jsonb_typeof()."""
-    s = F.schema_of_variant(parse(j))
-    return (
-        F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null").when(s.isNotNull(), "number")
-    )
+    """jsonb_typeof(); NULL if the text is no JSON."""
+    return F.when(is_json(j), _kind(col(j)))
+
+
+def typeof_at(v, steps) -> Column:
+    """jsonb_typeof(v #> steps) of a parsed document; NULL where there is nothing."""
+    return _kind(F.to_json(F.try_variant_get(col(v), _path(_steps(steps)), "variant")))
+
+
+def array_length_at(v, steps) -> Column:
+    """jsonb_array_length(v #> steps) of a parsed document; 0 for what is no array."""
+    return F.coalesce(F.size(F.try_variant_get(col(v), _path(_steps(steps)), "array<variant>")), F.when(col(v).isNotNull(), 0))
 
 
 def array_length(j) -> Column:
     """jsonb_array_length(): 0 for what is no array."""
-    return F.when(col(j).isNotNull(), F.coalesce(F.json_array_length(col(j)), F.lit(0)))
+    return F.coalesce(F.json_array_length(col(j)), F.when(col(j).isNotNull(), 0))
 
 
 def keys(j) -> Column:
@@ -67,17 +81,17 @@ def keys(j) -> Column:
 
 def has_key(j, key: str) -> Column:
     """j ? key, over top-level keys."""
-    return F.when(col(j).isNotNull(), F.coalesce(F.array_contains(keys(j), key), F.lit(False)))
+    return F.coalesce(F.array_contains(keys(j), key), F.when(col(j).isNotNull(), False))
 
 
 def has_any(j, wanted: list[str]) -> Column:
     """j ?| keys."""
-    return F.when(col(j).isNotNull(), F.coalesce(F.arrays_overlap(keys(j), F.array(*map(F.lit, wanted))), F.lit(False)))
+    return F.coalesce(F.arrays_overlap(keys(j), F.array(*map(F.lit, wanted))), F.when(col(j).isNotNull(), False))
 
 
 def has_all(j, wanted: list[str]) -> Column:
     """j ?& keys."""
-    return F.when(col(j).isNotNull(), F.coalesce(F.size(F.array_except(F.array(*map(F.lit, wanted)), keys(j))) == 0, F.lit(False)))
+    return F.coalesce(F.size(F.array_except(F.array(*map(F.lit, wanted)), keys(j))) == 0, F.when(col(j).isNotNull(), False))
 
 
 def entries(j) -> Column:

@@ -54,6 +54,15 @@ def test_round_binary(one):
     assert math.copysign(1, a) == -1 and (a, b, c, d, e, n) == (0.0, 0.007813, -0.007813, 0.0, 3e-6, None)
 
 
+def test_json_kinds(one):
+    j = F.lit(' {"o": {}, "a": [1, 2], "s": "[1]", "t": true, "f": false, "z": null, "n": -1.5}')
+    v = jsonb.parse(j)
+    assert one(F.array(*[jsonb.typeof_at(v, [k]) for k in ("o", "a", "s", "t", "f", "z", "n", "none")])) == ["object", "array", "string", "boolean", "boolean", "null", "number", None]
+    assert one(jsonb.typeof(j), jsonb.typeof(F.lit("nope")), jsonb.typeof(F.lit(" [")), jsonb.typeof("n"), jsonb.typeof(F.lit("\n[]"))) == ("object", None, None, None, "array")
+    assert one(*[jsonb.array_length_at(v, [k]) for k in ("a", "s", "none")], jsonb.array_length_at(jsonb.parse("n"), ["a"])) == (2, 0, 0, None)
+    assert one(jsonb.array_length("n"), jsonb.array_length(F.lit("{}")), jsonb.has_key("n", "a"), jsonb.has_key(F.lit("[]"), "a"), jsonb.has_all(j, ["o", "q"]), jsonb.has_any(F.lit("1"), ["q"])) == (None, 0, None, False, False, False)
+
+
 def test_dates_and_intervals(one):
     t = F.lit("2024-02-29 23:30:15.25")
     assert one(datetimes.date_trunc("decade", t), datetimes.date_trunc("millennium", t), datetimes.date_trunc("week", t)) == (datetime.datetime(2020, 1, 1), datetime.datetime(2001, 1, 1), datetime.datetime(2024, 2, 26))
