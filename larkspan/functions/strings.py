@@ -108,7 +108,7 @@ def encode(data, form: str) -> Column:
     if form == "hex":
         return F.lower(F.hex(data))
     if form == "base64":
-        return F.replace(F.base64(data), F.lit("\r"), F.lit(""))
+        return F.regexp_replace(F.regexp_replace(F.base64(data), r"[\r\n]", ""), "(.{76})(?=.)", "$1\n")  # lines of 76, whatever the session's setting
     if form == "escape":
         return F.replace(F.decode(data, "ISO-8859-1"), F.lit("\\"), F.lit("\\\\"))
     raise ValueError(f'unrecognized encoding: "{form}"')

@@ -57,10 +57,10 @@ def join_right(spark, sf):
     return s.filter("s_acctbal > 5000").join(n, s.s_nationkey == n.n_nationkey, "right").select("s_suppkey", "n_name")
 
 
-@query("join_full", "SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) s ON c_custkey = s_suppkey")
+@query("join_full", "SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 20")
 def join_full(spark, sf):
     s, c = _t(spark, sf, "supplier", "customer")
-    return c.filter("c_custkey % 3 = 0").join(s.filter("s_suppkey % 2 = 0"), F.col("c_custkey") == F.col("s_suppkey"), "full").select("c_custkey", "s_suppkey")
+    return c.join(s, F.col("c_custkey") == F.col("s_suppkey") * 20, "full").select("c_custkey", "s_suppkey")
 
 
 @query("join_using", "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation) x JOIN (SELECT r_regionkey AS k, r_name AS b FROM region) y USING (k)")
@@ -136,11 +136,11 @@ def lateral_json_each(spark, sf):
     return e.select("event_id", F.explode(jsonb.entries("props")).alias("e")).select("event_id", "e.key", "e.value")
 
 
-@query("lateral_subquery", "SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) l WHERE c_custkey <= 200")
+@query("lateral_subquery", "SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) l")
 def lateral_subquery(spark, sf):
     o, c = _t(spark, sf, "orders", "customer")
-    best = rel.top_k(o.filter("o_custkey <= 200"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 2)
-    return c.filter("c_custkey <= 200").join(best, c.c_custkey == best.o_custkey).select("c_custkey", "o_orderkey")
+    best = rel.top_k(o.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 2)
+    return c.join(best, c.c_custkey == best.o_custkey).select("c_custkey", "o_orderkey")
 
 
 @query(
@@ -159,11 +159,11 @@ for _kind, _all in (("union", False), ("union", True), ("intersect", False), ("i
 
     @query(
         f"set_{_kind}{'_all' * _all}",
-        f"SELECT c_nationkey AS k FROM customer WHERE c_custkey < 400 {_kind.upper()} {'ALL ' * _all}SELECT s_nationkey FROM supplier",
+        f"SELECT c_nationkey AS k FROM customer {_kind.upper()} {'ALL ' * _all}SELECT s_nationkey FROM supplier",
     )
     def _set(spark, sf, kind=_kind, all_=_all):
         s, c = _t(spark, sf, "supplier", "customer")
-        return rel.set_operation(kind, c.filter("c_custkey < 400").select(F.col("c_nationkey").alias("k")), s.select("s_nationkey"), all_)
+        return rel.set_operation(kind, c.select(F.col("c_nationkey").alias("k")), s.select("s_nationkey"), all_)
 
 
 @query("sort_nulls_limit_offset", "SELECT o_orderkey, nullif(o_orderpriority, '1-URGENT') AS p FROM orders ORDER BY p DESC NULLS FIRST, o_orderkey LIMIT 20 OFFSET 5")

@@ -9,16 +9,16 @@ from larkspan.session import table
 
 
 def _pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", "url", F.col("url").substr(8, 12).alias("h"))
+    return table(spark, sf, "pages").select("page_id", "url", F.col("url").alias("h"))
 
 
-_P = "(SELECT page_id, url, substr(url, 8, 12) AS h FROM pages)"
+_P = "(SELECT page_id, url, url AS h FROM pages)"
 
 
-@query("str_basics", f"SELECT page_id, lower(upper(h)) AS a, length(url) AS b, replace(url, 'http', 'x') AS c, substr(url, 3, 5) AS d, trim('/' FROM h) AS e, ltrim(url, 'htp:/') AS f, rtrim(url, 'x=&') AS g FROM {_P}")
+@query("str_basics", f"SELECT page_id, lower(upper(h)) AS a, length(url) AS b, replace(url, 'http', 'x') AS c, substr(url, 3, 5) AS d, trim('htps/' FROM h) AS e, ltrim(url, 'htp:/') AS f, rtrim(url, 'x=&') AS g FROM {_P}")
 def str_basics(spark, sf):
     u, h = F.col("url"), F.col("h")
-    return _pages(spark, sf).select("page_id", F.lower(F.upper(h)).alias("a"), F.length(u).cast("long").alias("b"), F.replace(u, F.lit("http"), F.lit("x")).alias("c"), F.substring(u, 3, 5).alias("d"), F.btrim(h, F.lit("/")).alias("e"), F.ltrim(u, F.lit("htp:/")).alias("f"), F.rtrim(u, F.lit("x=&")).alias("g"))
+    return _pages(spark, sf).select("page_id", F.lower(F.upper(h)).alias("a"), F.length(u).cast("long").alias("b"), F.replace(u, F.lit("http"), F.lit("x")).alias("c"), F.substring(u, 3, 5).alias("d"), F.btrim(h, F.lit("htps/")).alias("e"), F.ltrim(u, F.lit("htp:/")).alias("f"), F.rtrim(u, F.lit("x=&")).alias("g"))
 
 
 @query("str_concat", f"SELECT page_id, concat(h, nullif(page_id, 3), '!') AS a, h || nullif(url, url) AS b, concat_ws('-', h, nullif(page_id, 3), 'z') AS c FROM {_P}")
@@ -32,9 +32,9 @@ def str_left_right(spark, sf):
     return _pages(spark, sf).select("page_id", s.left("h", 3).alias("a"), s.left("h", -4).alias("b"), s.right("h", 3).alias("c"), s.right("h", -4).alias("d"), s.left("h", -40).alias("e"), s.right("h", -40).alias("f"))
 
 
-@query("str_pad_repeat", f"SELECT page_id, lpad(h, 20, 'ab') AS a, rpad(h, 5, '*') AS b, repeat(left(h, 2), 3) AS c, reverse(h) AS d, translate(h, 'the', 'TH') AS e, chr(CAST(913 + page_id % 20 AS INT)) AS f, chr(128512) AS g FROM {_P}")
+@query("str_pad_repeat", f"SELECT page_id, lpad(h, 20, 'ab') AS a, lpad(h, 120, 'ab') AS a2, rpad(h, 5, '*') AS b, rpad(h, 120, '*+') AS b2, repeat(left(h, 2), 3) AS c, reverse(h) AS d, translate(h, 'the', 'TH') AS e, chr(CAST(913 + page_id % 20 AS INT)) AS f, chr(128512) AS g FROM {_P}")
 def str_pad_repeat(spark, sf):
-    return _pages(spark, sf).select("page_id", s.pad_left("h", 20, "ab").alias("a"), s.pad_right("h", 5, "*").alias("b"), F.repeat(s.left("h", 2), F.lit(3)).alias("c"), F.reverse("h").alias("d"), F.translate("h", "the", "TH").alias("e"), s.chr_(F.col("page_id") % 20 + 913).alias("f"), s.chr_(F.lit(128512)).alias("g"))
+    return _pages(spark, sf).select("page_id", s.pad_left("h", 20, "ab").alias("a"), s.pad_left("h", 120, "ab").alias("a2"), s.pad_right("h", 5, "*").alias("b"), s.pad_right("h", 120, "*+").alias("b2"), F.repeat(s.left("h", 2), F.lit(3)).alias("c"), F.reverse("h").alias("d"), F.translate("h", "the", "TH").alias("e"), s.chr_(F.col("page_id") % 20 + 913).alias("f"), s.chr_(F.lit(128512)).alias("g"))
 
 
 @query("str_parts", f"SELECT page_id, split_part(url, '/', 3) AS a, split_part(url, '/', -1) AS b, split_part(url, '/', 40) AS c, strpos(url, 'example') AS d, position('zzz' IN url) AS e, left(h, 2) || 'NEW' || substr(h, 6) AS f, initcap AS g, md5(h) AS i, ascii(h) AS j FROM (SELECT *, upper(left(h, 1)) || lower(substr(h, 2)) AS initcap FROM (SELECT page_id, url, split_part(substr(url, 8), '.', 1) AS h FROM pages))")
@@ -48,7 +48,7 @@ def str_format(spark, sf):
     return _pages(spark, sf).select("page_id", s.format_("page %s: %s 100%%", "page_id", "h").alias("a"))
 
 
-@query("str_encode", f"SELECT page_id, lower(hex(encode(h))) AS a, to_base64(encode(h)) AS b, decode(from_hex(hex(encode(h)))) AS c FROM {_P}")
+@query("str_encode", f"SELECT page_id, lower(hex(encode(h))) AS a, rtrim(regexp_replace(to_base64(encode(h)), '(.{{76}})', '\\1' || chr(10), 'g'), chr(10)) AS b, decode(from_hex(hex(encode(h)))) AS c FROM {_P}")
 def str_encode(spark, sf):
     return _pages(spark, sf).select("page_id", s.encode("h", "hex").alias("a"), s.encode("h", "base64").alias("b"), F.decode(s.decode(s.encode("h", "hex"), "hex"), "UTF-8").alias("c"))
 
