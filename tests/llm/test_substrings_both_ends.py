@@ -3,7 +3,7 @@ import random
 from test_substrings import result, split
 
 
-def whole(docs, least_s=2, least_w=16):
+def whole(docs, least_s=2, least_w=36):
     """As brute() of test_substrings, with the shortest runs that end at each sentence beside those that begin there."""
     runs, parts = {}, {d: split(t) for d, t in docs}
     for d, ss in parts.items():
@@ -34,7 +34,7 @@ def prose(rng, n):
 
 
 def test_last_sentences_of_a_passage_go(spark):
-    lengths = (12, 12, 12, 12, 3)
+    lengths = (12, 12, 12, 12, 12, 3)
     rng = random.Random(1)
     passage = " ".join(" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n)) + "." for n in lengths)
     docs = [(1, f"{prose(rng, 30)} {passage} {prose(rng, 30)}"), (2, f"{prose(rng, 30)} {passage} {prose(rng, 30)}")]
