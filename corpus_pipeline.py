@@ -32,9 +32,10 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Texts without the sentences of passages that stand elsewhere first; n_chars follows where a text has changed."""
     ship(spark)
     out = substrings.dedup_substrings(docs)
+    cut = out.columns[-1]
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut.sentences_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("_cut")
+        out = out.withColumn("n_chars", F.when(F.col(f"{cut}.sentences_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(cut)
 
 
 def drop_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
