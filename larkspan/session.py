@@ -37,12 +37,22 @@ def register(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
 _SHIPPED: set[str] = set()
 
 
+#: Rows and bytes of one Arrow batch to Python, where the session says nothing: whole texts can be long.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Give Python workers this package, once per application, so that it need not be installed on executors."""
+    """Give Python workers this package, once per application, so that it need not be installed on executors.
+
+    Arrow batches get the bounds of ARROW_BATCH unless the application has its own.
+    """
     import tempfile
     import zipfile
     from pathlib import Path
 
+    for k, v in ARROW_BATCH.items():
+        if not spark.sparkContext.getConf().contains(k):
+            spark.conf.set(k, v)
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:
         top = Path(__file__).resolve().parent
