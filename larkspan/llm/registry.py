@@ -42,11 +42,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
           CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-          CAST(sum(4 + length(title) + 2 + escaped + 9) AS BIGINT) AS formatted_chars
+          CAST(sum(4 + length(title) + 2 + escaped + 9) AS BIGINT) AS formatted_chars,
+          regexp_full_match(string_agg(CASE WHEN role IN ('system', 'user', 'assistant') THEN role[1] ELSE 'x' END, '' ORDER BY turn, role, text), 's?(ua)+') AS valid,
+          CASE WHEN NOT regexp_full_match(string_agg(CASE WHEN role IN ('system', 'user', 'assistant') THEN role[1] ELSE 'x' END, '' ORDER BY turn, role, text), 's?(ua)*u?') THEN 'broken'
+            ELSE CASE last(role ORDER BY turn, role, text) WHEN 'system' THEN 'primed' WHEN 'user' THEN 'asked' ELSE 'answered' END END AS end_state
         FROM sized GROUP BY conv_id""",
 )
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -7, formatted and read back."""
+    """All conversations and conversation -7, formatted and read back; whether the roles' order is valid, and the state they end in."""
     said = r"\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -57,6 +60,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         chat.unescape(F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), "")).alias("loss_text"),
         F.length("formatted").cast("long").alias("formatted_chars"),
         "valid",
+        "end_state",
     )
     nl = F.lit("\n")
     return read.select(
@@ -66,6 +70,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
+        "valid",
+        "end_state",
     )
 
 

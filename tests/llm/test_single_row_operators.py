@@ -221,6 +221,18 @@ def test_chat_round_trip(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_chat_query_runs_the_machine(spark, sf):
+    """The states of the role machine are in the optimised plan and in the rows."""
+    from larkspan.llm.registry import op8_chat_format
+
+    out = op8_chat_format(spark, sf)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "answered" in plan and "broken" in plan and "aggregate(" in plan
+    rows = {r["conv_id"]: r for r in out.collect()}
+    assert rows[-7]["valid"] and rows[-7]["end_state"] == "answered"
+    assert all(r["valid"] == (r["end_state"] == "answered") for r in rows.values())
+
+
 def test_queries_keep_every_document(spark, sf):
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     for name in ("op1_licence_scan", "op9_language_id", "op10_media_columns"):
