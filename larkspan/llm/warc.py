@@ -100,19 +100,22 @@ class Splitter:
 
 
 def inflate(stream):
-    """Bytes of a gzip stream of one or many members, a chunk at a time."""
-    z = zlib.decompressobj(31)
+    """Bytes of a gzip stream of one or many members, a chunk at a time; a member without its trailer is an error."""
+    z, begun = zlib.decompressobj(31), False
     while data := stream.read(CHUNK):
         while data:
+            begun = True
             out = z.decompress(data, CHUNK)
             if out:
                 yield out
             if z.eof:
-                data, z = z.unused_data, zlib.decompressobj(31)
+                data, z, begun = z.unused_data, zlib.decompressobj(31), False
             else:
                 data = z.unconsumed_tail
     if out := z.flush():
         yield out
+    if begun and not z.eof:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 class _Replace:
@@ -134,14 +137,15 @@ class _Replace:
 
 
 def write_archives(pages: DataFrame, uri: str, level: int = 5) -> DataFrame:
-    """(file, records) of one gzip stream for each partition of pages(page_id, url, html, refers_to)."""
+    """(part, file, records) of one gzip stream for each partition of pages(page_id, url, html, refers_to); `part` is its number."""
 
     def work(batches):
         from pyspark import TaskContext
 
         fs, top = open_fs(uri)
         fs.create_dir(top, recursive=True)
-        path, n = f"{top}/part-{TaskContext.get().partitionId():06d}.warc.gz", 0
+        part = TaskContext.get().partitionId()
+        path, n = f"{top}/part-{part:06d}.warc.gz", 0
         with _Replace(fs, path) as out:
             z = zlib.compressobj(level, zlib.DEFLATED, 31)
             for b in batches:
@@ -149,9 +153,18 @@ def write_archives(pages: DataFrame, uri: str, level: int = 5) -> DataFrame:
                     out.write(z.compress(record(page, url, (html or "").encode(), refers)))
                     n += 1
             out.write(z.flush())
-        yield pa.RecordBatch.from_arrays([pa.array([path] * (n > 0)), pa.array([n] * (n > 0), pa.int64())], names=["file", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array([part] * (n > 0), pa.int32()), pa.array([path] * (n > 0), pa.string()), pa.array([n] * (n > 0), pa.int64())], names=["part", "file", "records"])
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html", F.col("refers_to").cast("long")).mapInArrow(work, "file string, records long")
+    return pages.select(F.col("page_id").cast("long"), "url", "html", F.col("refers_to").cast("long")).mapInArrow(work, FILES)
+
+
+FILES = "part int, file string, records long"
+
+
+def one_by_one(files: DataFrame) -> DataFrame:
+    """(part, file), each file in a task of its own: the list is tiny, its work is not."""
+    most = files.agg(F.max("part")).first()[0]
+    return files.select("part", "file").repartitionById((most or 0) + 1, F.col("part"))
 
 
 def normalise_file(uri: str, file: str, level: int = 5) -> str:
@@ -188,15 +201,15 @@ def read_index(fs, target: str) -> list[tuple[int, int, int, bool]]:
 
 
 def normalise(files: DataFrame, uri: str) -> DataFrame:
-    """(file, records) of the normalised archives; one task handles one file at a time."""
+    """(part, file, records) of the normalised archives; one task handles one file."""
 
     def work(batches):
         fs, _ = open_fs(uri)
         for b in batches:
-            done = [normalise_file(uri, f) for f in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()), pa.array([len(read_index(fs, f)) for f in done], pa.int64())], names=["file", "records"])
+            done = [normalise_file(uri, f) for f in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.string()), pa.array([len(read_index(fs, f)) for f in done], pa.int64())], names=["part", "file", "records"])
 
-    return files.select("file").repartition("file").mapInArrow(work, "file string, records long")
+    return one_by_one(files).mapInArrow(work, FILES)
 
 
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -208,7 +221,7 @@ def read_archives(files: DataFrame, uri: str, payloads: bool = False) -> DataFra
     def work(batches):
         fs, _ = open_fs(uri)
         for b in batches:
-            for file in b.column(0).to_pylist():
+            for file in b.column(1).to_pylist():
                 rows, held = [], 0
                 with fs.open_input_file(file) as f:
                     for offset, length, _, _ in read_index(fs, file):
@@ -226,7 +239,7 @@ def read_archives(files: DataFrame, uri: str, payloads: bool = False) -> DataFra
                             rows, held = [], 0
                 yield _rows(rows)
 
-    return files.select("file").repartition("file").mapInArrow(work, RECORD)
+    return one_by_one(files).mapInArrow(work, RECORD)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

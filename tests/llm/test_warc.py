@@ -61,3 +61,19 @@ def test_repeat_of_a_normalised_file_is_idle(tmp_path):
     path.write_bytes(gzip.compress(warc.record(1, "u", b"x", None)))
     first = warc.normalise_file(f"file://{tmp_path}", str(path))
     assert not path.exists() and warc.normalise_file(f"file://{tmp_path}", str(path)) == first
+
+
+def test_truncated_archives_are_errors():
+    """Cut anywhere, also at the end of a record, before the trailer of the last member."""
+    whole = gzip.compress(warc.record(1, "u", b"abc", None)) + gzip.compress(warc.record(2, "u", b"x" * 5000, None))
+    assert b"".join(warc.inflate(io.BytesIO(whole))).count(b"WARC/1.1") == 2 and list(warc.inflate(io.BytesIO(b""))) == []
+    for cut in (1, 4, 8, 9, 20):
+        with pytest.raises(ValueError, match="inside a gzip member"):
+            list(warc.inflate(io.BytesIO(whole[:-cut])))
+
+
+def test_each_file_has_a_task(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"u{k}", f"page {k}", None, None) for k in range(60)], PAGES).repartition(6, "page_id")
+    files = warc.write_archives(df, f"file://{tmp_path}/w")
+    n = files.count()
+    assert sorted(len(p) for p in warc.one_by_one(files).rdd.glom().collect() if p) == [1] * n
