@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.llm.components import components
-from larkspan.llm.shared import materialize
+from larkspan.llm.shared import fresh, materialize
 from larkspan.llm.textkernel import combine, mix, shingles, text_buffer, words
 
 _U = np.uint64
@@ -80,35 +80,36 @@ def distinct_sets(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return (np.concatenate(parts) if parts else np.empty(0, _U)), out
 
 
-def set_keys(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each distinct set, whatever the order of its members."""
+def set_keys(h: np.ndarray, offsets: np.ndarray, salt: int = 0) -> np.ndarray:
+    """One 64-bit key for each distinct set, whatever the order of its members; salts give independent keys."""
     with np.errstate(over="ignore"):
         sums = np.zeros(len(h) + 1, _U)
-        np.cumsum(mix(h ^ _U(0x8B8B8B8B8B8B8B8B)), out=sums[1:])
-        return combine([sums[offsets[1:]] - sums[offsets[:-1]], np.diff(offsets).astype(_U)], 7)
+        np.cumsum(mix(h ^ _U(0x8B8B8B8B8B8B8B8B + salt * 0x1234567)), out=sums[1:])
+        return combine([sums[offsets[1:]] - sums[offsets[:-1]], np.diff(offsets).astype(_U)], 7 + salt)
 
 
-SIGNED = "doc_id long, text_hash long, n_shingles long, set_key long, bands array<long>"
+SIGNED = "doc_id long, text_hash long, n_shingles long, set_key long, set_check long, bands array<long>"
 
 
 def sign(df: DataFrame, doc: str, text: str, k: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, set size, set key and band hashes of every text; without shingles the last two are null."""
+    """doc_id, set size, the two halves of the set's 128-bit key and band hashes of every text; without shingles the last three are null."""
 
     def work(batches):
         for b in batches:
-            n, key, band = [], [], []
+            n, key, check, band = [], [], [], []
             for w in words(b.column(2)):
                 s, o = distinct_sets(*shingles(w.hashes, w.offsets, k))
                 sig = superminhash(s, o, bands * rows)
                 size = np.diff(o)
                 n.append(size)
                 key.append(set_keys(s, o))
+                check.append(set_keys(s, o, 1))
                 band.append(np.stack([combine([sig[:, i * rows + j] for j in range(rows)], i + 1) for i in range(bands)], axis=1))
             if not n:
                 continue
-            size, key, band = np.concatenate(n), np.concatenate(key).view(np.int64), np.concatenate(band).view(np.int64)
+            size, key, check, band = np.concatenate(n), np.concatenate(key).view(np.int64), np.concatenate(check).view(np.int64), np.concatenate(band).view(np.int64)
             off = pa.array(np.arange(0, len(size) * bands + 1, bands, dtype=np.int32), mask=np.append(size == 0, False))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size.astype(np.int64)), pa.array(key, mask=size == 0), pa.ListArray.from_arrays(off, pa.array(band.ravel()))], names=["doc_id", "text_hash", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size.astype(np.int64)), pa.array(key, mask=size == 0), pa.array(check, mask=size == 0), pa.ListArray.from_arrays(off, pa.array(band.ravel()))], names=["doc_id", "text_hash", "n_shingles", "set_key", "set_check", "bands"])
 
     content = F.col(text).cast("string")
     return df.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(content).alias("text_hash"), content.alias("text")).mapInArrow(work, SIGNED)
@@ -151,16 +152,11 @@ def _trees(linked: np.ndarray) -> np.ndarray:
 def _verify(members: DataFrame, k: int, percent: int) -> DataFrame:
     """True links inside each (family, i, j) as a forest of edges (u, v)."""
 
-    def group(keys: list[int], texts: pa.Array):
-        wanted = np.array(keys, np.int64)
+    def group(nodes: list[int], texts: pa.Array):
         parts = []
         for w in words(texts):
             s, o = distinct_sets(*shingles(w.hashes, w.offsets, k))
-            own = set_keys(s, o).view(np.int64)
-            for i in range(len(o) - 1):
-                if own[i] == wanted[w.first + i]:  # an id may stand on several texts
-                    parts.append((own[i], s[o[i] : o[i + 1]]))
-        parts = list(dict(parts).items())
+            parts += [(nodes[w.first + i], s[o[i] : o[i + 1]]) for i in range(len(o) - 1)]
         if len(parts) < 2:
             return [], []
         off = np.concatenate([[0], np.cumsum([len(p[1]) for p in parts])])
@@ -190,7 +186,7 @@ def _verify(members: DataFrame, k: int, percent: int) -> DataFrame:
         close()
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    keyed = members.select("family", "i", "j", "set_key", "text").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    keyed = members.select("family", "i", "j", "node", "text").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     return keyed.mapInArrow(work, "u long, v long")
 
 
@@ -209,27 +205,33 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", k: i
     """
     docs = df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = materialize(sign(docs, "doc_id", "text", k, bands, rows), "neardup-signed")
-    sets = signed.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands"))
-    sets = materialize(sets, "neardup-sets")
-    spread = sets.select("set_key", F.explode("bands").alias("band"))
-    met = spread.groupBy("band").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).filter("lo <> hi").select("band", "lo")
-    pairs = spread.join(met, "band").filter("set_key <> lo").select(F.col("set_key").alias("u"), F.col("lo").alias("v")).distinct()
-    family = components(pairs, "neardup-family").select(F.col("node").alias("set_key"), F.col("root").alias("family"))
-    family = materialize(family.join(sets.select("set_key", "rep", "size"), "set_key"), "neardup-members")
+    least_text = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash"))  # a text that stands on rep; any text of the set where no row has an id
+    sets = signed.filter("n_shingles > 0").groupBy("set_key", "set_check").agg(F.min("doc_id").alias("rep"), least_text.alias("rep_hash"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    # sets are told apart by 128 bits; a node is the first half, and of two sets with the same first half one takes its second
+    place = F.row_number().over(Window.partitionBy("set_key").orderBy("set_check"))
+    sets = materialize(sets.withColumn("node", F.when(place == 1, F.col("set_key")).otherwise(F.col("set_check"))), "neardup-sets")
+    spread = sets.select("node", F.explode("bands").alias("band"))
+    met = spread.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("band", "lo")
+    pairs = spread.join(met, "band").filter("node <> lo").select(F.col("node").alias("u"), F.col("lo").alias("v")).distinct()
+    family = components(pairs, "neardup-family").select("node", F.col("root").alias("family"))
+    family = materialize(family.join(sets.select("node", "rep", "rep_hash", "size"), "node"), "neardup-members")
     sizes = family.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
     blocks = sizes.select("family", F.greatest(F.ceil(F.col("n") / block_sets), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = family.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("set_key", F.lit("block")), F.col("blocks")).cast("int"))
-    # always by a shuffle of the texts: the members grow with the corpus, and so the plan is the same at every size
-    dealt = dealt.join(docs.hint("merge"), dealt["rep"].eqNullSafe(docs["doc_id"])).select("family", "set_key", "text", "blocks", "block")
+    dealt = family.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+    # always by a shuffle of the texts: the members grow with the corpus, and so the plan is the same at every size;
+    # a null id counts as 0 here, which does no harm, since the text has to be the same as well
+    texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("at"), F.xxhash64("text").alias("at_hash"), "text")
+    dealt = dealt.join(texts.hint("merge"), (F.coalesce("rep", F.lit(0)) == F.col("at")) & (F.col("rep_hash") == F.col("at_hash")))
+    dealt = dealt.groupBy("node").agg(*[F.first(c).alias(c) for c in ("family", "blocks", "block", "text")])  # rows that repeat id and text
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")))
-    dealt = dealt.select("family", "set_key", "text", "block", F.explode(others).alias("other"))
-    dealt = dealt.select("family", "set_key", "text", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.select("family", "node", "text", "block", F.explode_outer(others).alias("other"))
+    dealt = dealt.select("family", "node", "text", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     links = materialize(_verify(dealt, k, percent), "neardup-links")
-    trees = materialize(components(links, "neardup-groups").select(F.col("node").alias("set_key"), "root"), "neardup-trees")
-    named = sets.select("set_key", "rep").join(trees, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    trees = materialize(components(links, "neardup-groups").select("node", "root"), "neardup-trees")
+    named = sets.select("set_key", "set_check", "node", "rep").join(trees, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
-    named = named.join(least, "root").select("set_key", "component")
-    out = signed.select("doc_id", "text_hash", "n_shingles", "set_key").join(named, "set_key", "left")
+    named = named.join(least, "root").select("set_key", "set_check", "component")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "set_key", "set_check").join(named, ["set_key", "set_check"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -237,13 +239,16 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", k: i
 def keep_representatives(df: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """df with one document of each group; all columns kept.
 
-    Rows that repeat both id and text count as one, rows without an id stay
-    unless a row with an id is linked to them.
+    Rows that repeat both id and text count as one, the one whose columns have
+    the least hash, so that reruns agree; rows without an id stay unless a row
+    with an id is linked to them. Null and empty texts stay, an empty table
+    stays empty, columns may have any names.
     """
-    verdict = materialize(near_duplicates(df, doc, text, **options).filter("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")), "neardup-kept")
-    v = verdict.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
-    key = F.xxhash64(F.col(text).cast("string"))
-    out = df.join(v, F.col(doc).cast("long").eqNullSafe(F.col("_kept_id")) & (key == F.col("_kept_hash")), "left_semi")
-    if verdict.filter("n > 1").limit(1).count():
-        out = out.withColumn("_kept_hash", key).dropDuplicates([doc, "_kept_hash"]).drop("_kept_hash")
-    return out
+    verdict = near_duplicates(df, doc, text, **options).filter("kept").select(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "text_hash").distinct()
+    key, none, content, place = (fresh(df, c) for c in ("_kept_id", "_kept_none", "_kept_hash", "_kept_place"))
+    v = materialize(verdict.toDF(key, none, content), "neardup-kept")
+    own = F.col(f"`{doc}`").cast("long")
+    keyed = df.withColumns({key: F.coalesce(own, F.lit(0)), none: own.isNull(), content: F.xxhash64(F.col(f"`{text}`").cast("string"))})
+    plain = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    first = F.row_number().over(Window.partitionBy(key, none, content).orderBy(F.xxhash64(*plain)))
+    return keyed.join(v, [key, none, content], "left_semi").withColumn(place, first).filter(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in df.columns])

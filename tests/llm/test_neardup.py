@@ -28,7 +28,7 @@ def brute(rows, percent=85):
     for i, x in enumerate(s):
         for g in x:
             where.setdefault(g, []).append(i)
-    pairs = {(a, b) for v in where.values() if len(v) < 400 for a in v for b in v if a < b}
+    pairs = {(a, b) for v in where.values() for a in v for b in v if a < b}
     for a, b in pairs:
         if 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b]):
             root[find(b)] = find(a)
@@ -76,6 +76,39 @@ def test_large_family_and_chains(spark, block):
     assert result(df, block_sets=block) == brute(rows)
 
 
+def test_null_ids_and_repeated_rows(spark):
+    """1,000 rows without an id, some alike, and a hot row: each text is met once."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(500)]
+    rows = [(None, t) for t in texts] * 2 + [(None, texts[0] + " more"), (7, texts[1] + " more"), (0, texts[2] + " more")] + [(9, "a b c d e f g h i")] * 700
+    got = result(spark.createDataFrame(rows, "doc_id long, text string"))
+    by = {}
+    for r in got:
+        by.setdefault(r[2], []).append(r)
+    assert len(got) == len(rows) and len(by[7]) == 3 and len(by[0]) == 3 and len(by[9]) == 700 and len(by[None]) == 997
+    assert sum(r[3] for r in by[7]) == 1 and sum(r[3] for r in by[0]) == 1
+
+
+def test_boilerplate_family(spark):
+    """Many texts that share half of their words, so that bands chain them, and some true pairs among them."""
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(60)]
+    rows = [(k, " ".join(common + [f"w{rng.randrange(10**7)}" for _ in range(60)])) for k in range(1500)]
+    rows += [(5000 + k, rows[k * 3][1] + " tail") for k in range(100)]
+    got = {r[0]: r[2] for r in result(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert got == {k: k for k in range(1500)} | {5000 + k: k * 3 for k in range(100)}
+
+
+def test_representatives_keep_columns_and_agree(spark):
+    rows = [(1, "a b c d e f", k, 0, 0, 0) for k in (3, 1, 2)] + [(2, "A b c d e f", 4, 0, 0, 0), (None, "x y", 5, 0, 0, 0), (0, "x y", 6, 0, 0, 0), (None, None, 7, 0, 0, 0), (3, "", 8, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `n.o` int, _kept_id int, _KEPT_hash int, node int")
+    a = neardup.keep_representatives(df)
+    assert a.columns == df.columns
+    kept = sorted(tuple(r)[:3] for r in a.collect() if r[0] is not None)
+    assert [r[0] for r in kept] == [0, 1, 3] and kept == sorted(tuple(r)[:3] for r in neardup.keep_representatives(df.orderBy("`n.o`").repartition(3)).collect() if r[0] is not None)
+    assert neardup.keep_representatives(df.limit(0)).count() == 0
+
+
 def definition(values, m):
     """SuperMinHash element by element, with the same draws."""
     from larkspan.llm.textkernel import mix
