@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from larkspan.llm.shared import open_fs
 from larkspan.llm.textkernel import text_buffer
+from larkspan.llm.warc import _Replace
 
 UNIT = 576
 WIDTH = 24
@@ -157,12 +158,26 @@ def store(payload: bytes, form: str | None = None, width: int = WIDTH) -> bytes:
     return encode(flat.reshape(-1, width) if form in ("pgm", "bmp8") else flat.reshape(-1, width, 3), form)
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, media_format string, feature string, tile_npy binary, media binary"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, media_format string, feature string, tile_npy binary, media binary, tile_file string, tile_at long"
 
 
-def text_images(df: DataFrame, doc: str = "doc_id", text: str = "text", edge: int = 16, keep_media: bool = False) -> DataFrame:
+def save_stack(fs, top: str, name: str, tiles: list[bytes]) -> np.ndarray:
+    """Write the tiles as one NPY file of shape (n, edge, edge) and read it back; the file gets its name when it is whole."""
+    path, out = f"{top}/{name}", io.BytesIO()
+    np.save(out, np.stack([np.load(io.BytesIO(x)) for x in tiles]))
+    with _Replace(fs, path) as f:
+        f.write(out.getvalue())
+    with fs.open_input_stream(path) as f:
+        return np.load(io.BytesIO(f.read()))
+
+
+def text_images(df: DataFrame, doc: str = "doc_id", text: str = "text", edge: int = 16, keep_media: bool = False, uri: str | None = None) -> DataFrame:
     """Every text as an image file, read back, with an NPY tile and a difference hash.
 
+    With `uri` the tiles of each batch are stacked into an NPY file in that
+    shared folder and tile_npy is what is read back from it; tile_file and
+    tile_at say where a row's tile lies. Repeated tasks replace whole files.
+
     A null or empty text is one unit of 576 bytes of 255. Rows are independent:
     repeats give equal values, a null id stays null, an empty table gives no
     rows, other columns are ignored. `media` holds the file if keep_media is
@@ -170,7 +185,12 @@ def text_images(df: DataFrame, doc: str = "doc_id", text: str = "text", edge: in
     """
 
     def work(batches):
-        for b in batches:
+        from pyspark import TaskContext
+
+        fs, top = open_fs(uri) if uri else (None, None)
+        if uri:
+            fs.create_dir(top, recursive=True)
+        for number, b in enumerate(batches):
             data, bounds = text_buffer(b.column(1))
             rows = []
             for i in range(b.num_rows):
@@ -181,35 +201,16 @@ def text_images(df: DataFrame, doc: str = "doc_id", text: str = "text", edge: in
                 back, luma = img.tobytes(), grey(img)
                 form = "bmp" if media[:2] == b"BM" else "netpbm"
                 rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), form, difference_hash(luma), tile(luma, edge), media if keep_media else None))
-            cols = list(zip(*rows)) or [()] * 10
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary()]
+            cols = [list(c) for c in zip(*rows)] or [[] for _ in range(10)]
+            name = None
+            if uri and rows:
+                name = f"tiles-{TaskContext.get().partitionId():05d}-{number:05d}.npy"
+                for k, x in enumerate(save_stack(fs, top, name, cols[8])):
+                    one = io.BytesIO()
+                    np.save(one, x)
+                    cols[8][k] = one.getvalue()
+            cols += [[name] * len(rows), list(range(len(rows))) if name else [None] * len(rows)]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(work, SCHEMA)
-
-
-def write_tiles(images: DataFrame, uri: str) -> DataFrame:
-    """Stack the tiles of each partition into one NPY file in the folder `uri`; returns file, n, doc_ids.
-
-    A file is written beside its place and renamed, so a repeated task leaves whole files only.
-    """
-
-    def work(batches):
-        from pyspark import TaskContext
-
-        fs, top = open_fs(uri)
-        fs.create_dir(top, recursive=True)
-        part = TaskContext.get().partitionId()
-        for k, b in enumerate(batches):
-            if not b.num_rows:
-                continue
-            stack = np.stack([np.load(io.BytesIO(x)) for x in b.column(1).to_pylist()])
-            name, out = f"{top}/tiles-{part:05d}-{k:05d}.npy", io.BytesIO()
-            np.save(out, stack)
-            spare = f"{name}.{TaskContext.get().taskAttemptId()}"
-            with fs.open_output_stream(spare) as f:
-                f.write(out.getvalue())
-            fs.move(spare, name)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(stack)], pa.int64()), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64()))], names=["file", "n", "doc_ids"])
-
-    return images.select("doc_id", "tile_npy").mapInArrow(work, "file string, n long, doc_ids array<long>")

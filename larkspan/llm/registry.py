@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.session import ship
+from larkspan.llm.shared import workdir
 from larkspan.llm import chat, decontaminate, kneserney, language, licences, media, mixing, neardup, substrings, warc
 
 QUERIES: dict = {}
@@ -83,8 +84,8 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_media_columns")
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored as a Netpbm or BMP file and read back; digests of both, tile and difference hash."""
-    images = media.text_images(_table(spark, sf_dir, "documents"))
+    """Every text stored as a Netpbm or BMP file and read back; digests of both, tile (written as NPY) and difference hash."""
+    images = media.text_images(_table(spark, sf_dir, "documents"), uri=workdir(spark, "tiles"))
     return images.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_format", F.sha2("tile_npy", 256).alias("tile_sha256"))
 
 

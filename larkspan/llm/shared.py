@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -35,10 +36,30 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
+_WRITTEN: list[str] = []
+
+
+def remove_intermediates() -> None:
+    """Delete what materialize() has written; results that were not saved yet can't be read after that."""
+    while _WRITTEN:
+        fs, top = open_fs(_WRITTEN.pop())
+        try:
+            fs.delete_dir(top)
+        except FileNotFoundError:
+            pass
+
+
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The folder is kept while the driver lives, since results are lazy, and goes
+    with remove_intermediates(), at the latest when the driver exits.
+    """
     spark = df.sparkSession
-    path = path or f"{workdir(spark, name)}"
+    path = path or workdir(spark, name)
+    if not _WRITTEN:
+        atexit.register(remove_intermediates)
+    _WRITTEN.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -187,9 +187,26 @@ def test_media_query(spark, tmp_path):
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
         assert media.decode(bytes(r["media"])).tobytes() == payload and hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"]
         assert np.load(io.BytesIO(r["tile_npy"])).shape == (16, 16)
-    files = media.write_tiles(media.text_images(df), f"file://{tmp_path}/tiles").collect()
-    assert sum(f["n"] for f in files) == 6
-    assert all(np.load(f["file"]).shape == (f["n"], 16, 16) for f in files)
+    for r in media.text_images(df, uri=f"file://{tmp_path}/tiles").collect():
+        stack = np.load(tmp_path / "tiles" / r["tile_file"])
+        luma = media.grey(media.decode(media.store(payload_of(texts[r["doc_id"]]))))
+        assert stack.shape[1:] == (16, 16) and (stack[r["tile_at"]] == np.load(io.BytesIO(r["tile_npy"]))).all()
+        assert (stack[r["tile_at"]] == np.rint(media.area_resize(luma, 16, 16))).all()
+    assert media.text_images(df.limit(0), uri=f"file://{tmp_path}/none").count() == 0
+
+
+def payload_of(text):
+    raw = text.encode()
+    return raw + b"\xff" * (576 if not raw else -len(raw) % 576)
+
+
+def test_difference_hash_matches_definition():
+    rng = np.random.default_rng(5)
+    for shape in ((16, 18), (24, 24), (7, 40)):
+        img = rng.integers(0, 256, shape, dtype=np.uint8)
+        fine = np.kron(img, np.ones((8, 9))).reshape(8, shape[0], 9, shape[1]).mean(axis=(1, 3))
+        bits = "".join("1" if fine[y, x + 1] > fine[y, x] + 1e-9 else "0" for y in range(8) for x in range(8))
+        assert media.difference_hash(img) == f"{int(bits, 2):016x}"
 
 
 def test_chat_round_trip(spark):
