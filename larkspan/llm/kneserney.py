@@ -18,6 +18,9 @@ from __future__ import annotations
 
 import functools
 import io
+import os
+import shutil
+import tempfile
 from typing import NamedTuple
 
 import numpy as np
@@ -37,6 +40,10 @@ END, BEGIN = (_U(0x0E0D0E0D0E0D0E0D), _U(0x0B0E0B0E0B0E0B0E))
 HELD = 1 << 21
 #: Shards that the n-grams of one context are spread over.
 SPREAD = 16
+#: Bytes of the input's files for each shard; shards are never fewer than shuffle partitions.
+SHARD_BYTES = 10 << 20
+#: Bytes of fetched arrays that a worker keeps mapped, where the model is on no local file system.
+FETCHED = 4 << 30
 PART = "kind int, shard int, data binary"
 
 
@@ -213,7 +220,14 @@ def _merged(parts: DataFrame, fn, schema: str, shards: int, reduce=tally) -> Dat
         if now is not None:
             yield from fn(*now, *merge())
 
-    return parts.repartition(shards, "kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(work, schema)
+    return parts.repartitionById(shards, F.col("shard")).sortWithinPartitions("kind", "shard").mapInArrow(work, schema)
+
+
+def shards_for(df: DataFrame) -> int:
+    """Shards so that each takes about SHARD_BYTES of the files that df reads, whatever their total."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return few if size > 1 << 60 else max(few, -(-size // SHARD_BYTES))  # Spark calls unknown sizes that large
 
 
 #: Kinds of blocks: an n-gram order from 1 on, raw word counts, sums of contexts, and one row of totals of a merged shard.
@@ -224,11 +238,11 @@ LEVEL = PART + ", n1 long, n2 long, n3 long, n4 long, n3p long, total long, rows
 def train(df: DataFrame, text: str = "text", order: int = 2, shards: int | None = None, uri: str | None = None) -> Model:
     """Count all texts of df (null: empty) and write the model; see the module for its form.
 
-    `shards` sets how finely counts are dealt: as many as shuffle partitions if
-    not given. A task holds the different n-grams of its shards only.
+    `shards` sets how finely counts are dealt: as shards_for() has it if not
+    given. A task holds the different n-grams of one shard only.
     """
     spark = df.sparkSession
-    uri, shards = uri or workdir(spark, "lm"), shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    uri, shards = uri or workdir(spark, "lm"), shards or shards_for(df)
 
     def count(batches):
         held, n = [], 0
@@ -303,24 +317,45 @@ def train(df: DataFrame, text: str = "text", order: int = 2, shards: int | None
 
 
 class Reader:
-    """Maps a model's arrays and looks up sorted batches."""
+    """Maps a model's arrays and looks up sorted batches.
 
-    def __init__(self, model: Model):
-        self.model, self.fs_path = model, open_fs(model.uri)
+    Arrays of a local or mounted file system are mapped where they are; others
+    are fetched to a nameless file of the worker and mapped there, and the ones
+    not used for longest go when they pass `most` bytes.
+    """
+
+    def __init__(self, model: Model, most: int = FETCHED):
+        self.model, self.fs_path, self.most = model, open_fs(model.uri), most
         self.maps: dict[str, np.ndarray | None] = {}
+        self.fetched = 0
 
     def array(self, name: str) -> np.ndarray | None:
-        if name not in self.maps:
+        if name in self.maps:
+            found = self.maps.pop(name)
+        else:
             fs, top = self.fs_path
             path = f"{top}/{name}.npy"
             if not fs.get_file_info(path).is_file:
-                self.maps[name] = None
+                found = None
             elif fs.type_name == "local":
-                self.maps[name] = np.load(path, mmap_mode="r")
+                found = np.load(path, mmap_mode="r")
             else:
-                with fs.open_input_stream(path) as f:
-                    self.maps[name] = np.lib.format.read_array(f)
-        return self.maps[name]
+                found = self._fetch(fs, path)
+        self.maps[name] = found  # the last one used stands last
+        return found
+
+    def _fetch(self, fs, path: str) -> np.ndarray:
+        with tempfile.NamedTemporaryFile(suffix=".npy", delete=False) as out, fs.open_input_stream(path) as f:
+            shutil.copyfileobj(f, out, 1 << 20)
+        try:
+            found = np.load(out.name, mmap_mode="r")
+        finally:
+            os.unlink(out.name)  # the map holds on to it
+        self.fetched += found.nbytes
+        while self.fetched > self.most and self.maps:
+            gone = self.maps.pop(next(iter(self.maps)))
+            self.fetched -= gone.nbytes if gone is not None else 0
+        return found
 
     def find(self, kind: str, shard: np.ndarray, h: np.ndarray, values: tuple[str, ...]) -> list[np.ndarray]:
         """Values at the hashes, 0 where absent; queries go by shard and hash, so that the maps are read in order."""

@@ -118,3 +118,29 @@ def test_query(spark, sf):
     rows = registry.QUERIES["op2_lm_scores"](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert sum(r["score"] for r in rows if r["held_out"]) > sum(r["base_score"] for r in rows if r["held_out"])
+
+
+def test_fetched_arrays_are_mapped_and_let_go(spark, tmp_path):
+    """A model on a file system that can't be mapped gives the same values, whatever the bound of what is kept."""
+    from pyarrow import fs as pafs
+
+    texts = [f"a{k % 7} b{k % 11} c{k % 3} d{k}" for k in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = kn.train(df, order=3, shards=7, uri=f"file://{tmp_path}/m")
+    ((words_, off, _, _),) = kn.token_stream(__import__("pyarrow").array([" ".join(texts)]))
+    cols = kn.grams(words_, off, 3)
+    want = kn.Reader(model).probabilities(cols)
+    for most in (1 << 30, 1):
+        r = kn.Reader(model, most)
+        r.fs_path = (pafs.SubTreeFileSystem("/", pafs.LocalFileSystem()), f"{tmp_path}/m")
+        assert (r.probabilities(cols) == want).all() and (most > 1 or r.fetched < 100_000)
+
+
+def test_shards_follow_the_input(spark, tmp_path, monkeypatch):
+    """As many shards as shuffle partitions at least, else one for each SHARD_BYTES of files."""
+    monkeypatch.setattr(kn, "SHARD_BYTES", 1000)
+    df = spark.range(20_000).selectExpr("uuid() AS text")
+    assert kn.shards_for(spark.createDataFrame([("a",)], "text string")) >= 4
+    df.write.parquet(f"file://{tmp_path}/t")
+    n = kn.shards_for(spark.read.parquet(f"file://{tmp_path}/t"))
+    assert n > 100 and kn.shards_for(spark.read.parquet(f"file://{tmp_path}/t").filter("text <> ''")) <= n
