@@ -8,6 +8,8 @@ import uuid
 from decimal import Decimal
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +41,21 @@ def escape_text(s: Column, delimiter: str = "\t") -> Column:
     return out if delimiter == "\t" else F.replace(out, F.lit(delimiter), F.lit("\\" + delimiter))
 
 
+def _without_headers(lines: DataFrame) -> DataFrame:
+    """Lines less the first one of each file; a file's first line leads the split that begins at its first byte."""
+
+    def work(batches):
+        before = None
+        for b in batches:
+            line, file, start = b.columns
+            places = list(zip(file.to_pylist(), start.to_pylist()))
+            first = [p != q and p[1] == 0 for p, q in zip(places, [before, *places])]
+            before = places[-1] if places else before
+            yield pa.RecordBatch.from_arrays([line.filter(pa.array([not x for x in first]))], names=["line"])
+
+    return lines.select("line", F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).mapInArrow(work, "line string")
+
+
 def copy_from(spark: SparkSession, path: str, schema: T.StructType, form: str = "text", columns: list[str] | None = None, delimiter: str | None = None, quote: str = '"', escape: str | None = None, null: str | None = None, header: bool = False, encoding: str = "UTF8") -> DataFrame:
     """COPY table FROM path: rows of the schema; columns that are not listed are NULL. Malformed fields raise."""
     kinds = {f.name: f.dataType for f in schema}
@@ -49,9 +66,9 @@ def copy_from(spark: SparkSession, path: str, schema: T.StructType, form: str =
         value = lambda c: F.col(f"`{c}`")
     elif form == "text":
         reader = spark.read.option("encoding", _charset(encoding))
-        lines = reader.csv(path, sep="\x01", quote="", escape="\x00", schema="line string", header=header) if encoding.upper() not in ("UTF8", "UTF-8") else spark.read.text(path).toDF("line")
+        lines = reader.csv(path, sep="\x01", quote="", escape="\x00", schema="line string", header=header) if encoding.upper() not in ("UTF8", "UTF-8") else spark.read.text(path).withColumnRenamed("value", "line")
         if header and encoding.upper() in ("UTF8", "UTF-8"):
-            lines = lines.filter(F.col("line") != (delimiter or "\t").join(columns))
+            lines = _without_headers(lines)
         lines = lines.filter(F.col("line") != "\\.")
         # a delimiter behind an odd number of backslashes is data
         d = "\\t" if (delimiter or "\t") == "\t" else r"\Q" + delimiter + r"\E"
@@ -94,11 +111,15 @@ def copy_to(df: DataFrame, path: str, form: str = "text", delimiter: str | None
 
 _SIGNATURE = b"PGCOPY\n\xff\r\n\x00" + b"\x00" * 8
 _EPOCH = datetime.date(2000, 1, 1).toordinal()
+#: Rows that leave a binary file at a time.
+_PIECE = 50_000
 
 
 def _numeric(raw: bytes) -> Decimal:
     """Base-10000 digits, weight, sign and scale."""
     n, weight, sign, scale = struct.unpack_from(">hhHh", raw)
+    if sign not in (0, 0x4000):  # NaN and the infinities
+        raise ValueError("a numeric that is no number has no decimal value")
     value = sum(Decimal(d) * Decimal(10_000) ** (weight - i) for i, d in enumerate(struct.unpack_from(f">{n}h", raw, 8)))
     return (-value if sign == 0x4000 else Decimal(value)).quantize(Decimal(1).scaleb(-scale))
 
@@ -119,7 +140,14 @@ def _numeric_bytes(v: Decimal) -> bytes:
     return struct.pack(f">hhHh{len(groups)}h", len(groups), weight if groups else 0, 0x4000 if sign else 0, scale, *groups)
 
 
-def _decode(raw: bytes, kind: T.DataType):
+def _is_uuid(f: T.StructField) -> bool:
+    """Text columns whose declared type is uuid say so in their metadata."""
+    return f.metadata.get("type") == "uuid"
+
+
+def _decode(raw: bytes, kind: T.DataType, is_uuid: bool = False):
+    if is_uuid:
+        return str(uuid.UUID(bytes=raw))
     if isinstance(kind, T.BooleanType):
         return raw != b"\0"
     for t, f in ((T.ShortType, ">h"), (T.IntegerType, ">i"), (T.LongType, ">q"), (T.FloatType, ">f"), (T.DoubleType, ">d")):
@@ -133,10 +161,12 @@ def _decode(raw: bytes, kind: T.DataType):
         return _numeric(raw)
     if isinstance(kind, T.BinaryType):
         return raw
-    return str(uuid.UUID(bytes=raw)) if len(raw) == 16 and b"\0" in raw else raw.decode()
+    return raw.decode()
 
 
-def _encode(v, kind: T.DataType) -> bytes:
+def _encode(v, kind: T.DataType, is_uuid: bool = False) -> bytes:
+    if is_uuid:
+        return uuid.UUID(v).bytes
     if isinstance(kind, T.BooleanType):
         return b"\1" if v else b"\0"
     for t, f in ((T.ShortType, ">h"), (T.IntegerType, ">i"), (T.LongType, ">q"), (T.FloatType, ">f"), (T.DoubleType, ">d")):
@@ -153,8 +183,8 @@ def _encode(v, kind: T.DataType) -> bytes:
 
 
 def copy_from_binary(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows of binary COPY files; a file is one unit of work."""
-    kinds = [f.dataType for f in schema]
+    """Rows of binary COPY files; a file is one unit of work, its rows leave in pieces. Text columns with the metadata {"type": "uuid"} are UUIDs."""
+    kinds = [(f.dataType, _is_uuid(f)) for f in schema]
 
     def work(batches):
         for b in batches:
@@ -169,34 +199,50 @@ def copy_from_binary(spark: SparkSession, path: str, schema: T.StructType) -> Da
                     for k in range(n):
                         size = struct.unpack_from(">i", raw, at)[0]
                         at += 4
-                        row.append(None if size < 0 else _decode(raw[at : at + size], kinds[k]))
+                        row.append(None if size < 0 else _decode(raw[at : at + size], *kinds[k]))
                         at += max(size, 0)
                     rows.append(row)
+                    if len(rows) == _PIECE:
+                        yield pd.DataFrame(rows, columns=schema.names, dtype=object)
+                        rows = []
                 yield pd.DataFrame(rows, columns=schema.names, dtype=object)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(work, schema)
 
 
 def copy_to_binary(df: DataFrame, path: str) -> None:
-    """One binary COPY file for each partition, through Spark's own committer as a table of file bodies.
+    """A folder with one binary COPY file for each partition; must not exist yet.
 
-    The folder holds Parquet with a column `content`; binary_bodies() gives the
-    raw files' bytes.
+    Rows are streamed to a file beside its place, which gets its name when it is
+    whole, so repeated tasks leave whole files only. The path has to be one that
+    pyarrow's file systems reach from the executors.
     """
-    kinds, names = [f.dataType for f in df.schema], df.columns
+    kinds, names, uri = [(f.dataType, _is_uuid(f)) for f in df.schema], df.columns, path if "://" in path else f"file://{path}"
+    fs, top = pafs.FileSystem.from_uri(uri)
+    if fs.get_file_info(top).type != pafs.FileType.NotFound:
+        raise ValueError(f"{path} already exists")
+    fs.create_dir(top, recursive=True)
+
+    def field(v, kind: T.DataType, is_uuid: bool) -> bytes:
+        if v is None or v is pd.NaT or (isinstance(v, float) and v != v and not isinstance(kind, (T.FloatType, T.DoubleType))):
+            return b"\xff\xff\xff\xff"
+        body = _encode(v, kind, is_uuid)
+        return struct.pack(">i", len(body)) + body
 
     def work(batches):
-        out = [_SIGNATURE]
-        for b in batches:
-            for row in b[names].itertuples(index=False, name=None):
-                out.append(struct.pack(">h", len(row)))
-                for v, k in zip(row, kinds):
-                    if v is None or v is pd.NaT or (isinstance(v, float) and v != v and not isinstance(k, (T.FloatType, T.DoubleType))):
-                        out.append(b"\xff\xff\xff\xff")
-                    else:
-                        v = int(v) if isinstance(k, (T.ShortType, T.IntegerType, T.LongType)) else v
-                        body = _encode(v, k)
-                        out.append(struct.pack(">i", len(body)) + body)
-        yield pd.DataFrame({"content": [b"".join(out) + b"\xff\xff"]})
-
-    df.mapInPandas(work, "content binary").write.parquet(path)
+        from pyspark import TaskContext
+
+        fs, top = pafs.FileSystem.from_uri(uri)
+        part, n = TaskContext.get(), 0
+        spare, name = f"{top}/.part-{part.partitionId():05d}.{part.taskAttemptId()}", f"{top}/part-{part.partitionId():05d}.bin"
+        with fs.open_output_stream(spare) as out:
+            out.write(_SIGNATURE)
+            for b in batches:
+                for row in zip(*(b.column(c).to_pylist() for c in names)):
+                    out.write(struct.pack(">h", len(row)) + b"".join(field(v, *k) for v, k in zip(row, kinds)))
+                    n += 1
+            out.write(b"\xff\xff")
+        fs.move(spare, name)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    df.mapInArrow(work, "n long").agg(F.sum("n")).collect()

@@ -152,17 +152,35 @@ def test_copy_round_trip(db, tmp_path, form):
     db.sql("INSERT INTO a VALUES (1, 'tab\there', true, 1.5, '2020-01-02', 12345.678), (2, NULL, false, NULL, NULL, -0.5), (3, 'quote \" and , back\\slash', NULL, -2, '1999-12-31', 0)")
     db.sql(f"COPY a TO '{tmp_path}/out' WITH (FORMAT {form})")
     db.sql("CREATE TABLE b (id int, name text, ok boolean, x double precision, d date, n numeric(12,3))")
-    if form == "binary":
-        content = db.spark.read.parquet(f"{tmp_path}/out").collect()
-        (tmp_path / "bin").mkdir()
-        for i, r in enumerate(content):
-            (tmp_path / "bin" / f"{i}.bin").write_bytes(r["content"])
-        db.sql(f"COPY b FROM '{tmp_path}/bin' WITH (FORMAT binary)")
-    else:
-        db.sql(f"COPY b FROM '{tmp_path}/out' WITH (FORMAT {form})")
+    db.sql(f"COPY b FROM '{tmp_path}/out' WITH (FORMAT {form})")
     assert sorted(rows(db.sql("SELECT * FROM a")), key=str) == sorted(rows(db.sql("SELECT * FROM b")), key=str)
 
 
+def test_copy_text_header_by_position(db, tmp_path):
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h" / "1.txt").write_text("ID\tNAME\n1\ta\nid\tname\n")
+    (tmp_path / "h" / "2.txt").write_text("id\tname\n2\tb\n")
+    db.sql("CREATE TABLE h (id text, name text)")
+    db.sql(f"COPY h FROM '{tmp_path}/h' WITH (FORMAT text, HEADER)")
+    assert sorted(rows(db.sql("SELECT * FROM h"))) == [("1", "a"), ("2", "b"), ("id", "name")]
+
+
+def test_copy_binary_types(spark, tmp_path):
+    import uuid
+
+    from larkspan.sources import copyio
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("u", T.StringType(), True, {"type": "uuid"}), T.StructField("s", T.StringType()), T.StructField("k", T.LongType())])
+    data = [(str(uuid.UUID(int=k * 0x1234567890ABCDEF1234567890ABCDE)), "sixteen bytes ok", None if k % 3 == 0 else k) for k in range(1, 40)] + [(None, None, 0)]
+    copyio.copy_to_binary(spark.createDataFrame(data, schema).repartition(3), f"{tmp_path}/b")
+    assert sorted(map(str, (tuple(r) for r in copyio.copy_from_binary(spark, f"{tmp_path}/b", schema).collect()))) == sorted(map(str, data))
+    with pytest.raises(ValueError):
+        copyio.copy_to_binary(spark.createDataFrame(data, schema), f"{tmp_path}/b")
+    with pytest.raises(ValueError):
+        copyio._numeric(bytes.fromhex("00000000C0000000"))
+
+
 def test_copy_options(db, tmp_path):
     (tmp_path / "x.csv").write_text("id;name\n1;'it''s'\n2;NA\n")
     db.sql("CREATE TABLE c (id int, name text, extra int)")
