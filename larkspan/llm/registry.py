@@ -158,7 +158,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_lm_scores")
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log-probability of every document under a bigram model of the documents that are not held out."""
+    """Log-probability of every document under a trigram model of the documents that are not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = kneserney.train(docs.filter(~kneserney.held_out_column()))
+    model = kneserney.train(docs.filter(~kneserney.held_out_column()), order=3)
     return kneserney.score(docs, model, kneserney.held_out_column())
