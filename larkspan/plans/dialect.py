@@ -15,6 +15,10 @@ from typing import NamedTuple
 from larkspan.plans import macros
 
 
+#: Units that may stand after an interval literal.
+UNITS = ("year", "month", "day", "hour", "minute", "second")
+
+
 class Token(NamedTuple):
     """kind: str, name, quoted, num, param, op, or raw (finished Spark text)."""
 
@@ -511,8 +515,12 @@ class Rewriter:
                 out.append(raw(macros.cast_literal(t.low, show(tokens[i + 1]))))
                 i += 2
             elif t.low in ("interval", "date", "timestamp") and i + 1 < len(tokens) and tokens[i + 1].kind == "str":
-                s = show(tokens[i + 1])
-                out.append(raw(self._interval(tokens[i + 1].text) if t.low == "interval" else f"DATE {s}" if t.low == "date" else f"TIMESTAMP_NTZ {s}"))
+                s, text = show(tokens[i + 1]), tokens[i + 1].text
+                if t.low == "interval" and i + 2 < len(tokens) and tokens[i + 2].low in UNITS and text.strip().lstrip("+-").replace(".", "", 1).isdigit():
+                    text += f" {tokens[i + 2].low}"  # INTERVAL '60' DAY
+                    i += 1
+                bound = i + 2 < len(tokens) and tokens[i + 2].low in ("preceding", "following")
+                out.append(raw(self._bound(text) if bound and t.low == "interval" else self._interval(text) if t.low == "interval" else f"DATE {s}" if t.low == "date" else f"TIMESTAMP_NTZ {s}"))
                 i += 2
             else:
                 out.append(t)
@@ -530,6 +538,16 @@ class Rewriter:
         months, days, micros = parse(s)
         return f"make_interval(0, {months}, 0, {days}, 0, 0, CAST({micros} AS DECIMAL(20, 0)) / 1000000)"
 
+    def _bound(self, s: str) -> str:
+        """A frame's offset, which Spark wants as a literal of days and time."""
+        from larkspan.functions.intervals import parse
+
+        months, days, micros = parse(s)
+        if months:
+            raise ValueError("months are not supported in RANGE offsets")
+        seconds, rest = divmod(days * 86_400_000_000 + micros, 1_000_000)
+        return f"INTERVAL '{seconds}.{rest:06d}' SECOND"
+
     def _array(self, tokens: list[Token]) -> str:
         parts = [self._array(p) if p[0].text == "[" else text_of(self.rewrite(p)) for p in split_list(tokens[1:-1])]
         return f"array({', '.join(parts)})"

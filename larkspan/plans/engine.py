@@ -51,6 +51,7 @@ class Engine:
         self.authority, self.role, self.session_role = authority or Authority(), role, role
         self.tables: dict[str, DataFrame] = {}
         self.views: dict[str, str] = {}
+        self.stored: dict[str, DataFrame | None] = {}  # rows of materialized views; None before the first REFRESH
         self.schemas = {"public"}
         self.not_null: dict[str, tuple[str, ...]] = {}
         self.checks: dict[str, list[str]] = {}
@@ -93,6 +94,10 @@ class Engine:
                 self.authority.check(self.role, name, privilege)
                 return self.authority.visible(self.tables[name], self.role, name, privilege)
             return self.tables[name]
+        if name in self.stored:
+            if self.stored[name] is None:
+                raise ValueError(f'materialized view "{name}" has not been populated')
+            return self.stored[name]
         if name in self.views:
             return self.query(self.views[name])
         found = catalog.view(self, name)
@@ -132,9 +137,9 @@ class Engine:
             "insert": self._insert, "update": self._update, "delete": self._delete, "create": self._create, "drop": self._drop, "truncate": self._truncate, "alter": self._alter,
             "grant": self._grant, "revoke": self._revoke, "set": self._set, "reset": self._reset, "show": self._show, "copy": self._copy, "explain": self._explain,
             "begin": self._begin, "start": self._begin, "commit": self._commit, "end": self._commit, "rollback": self._rollback, "abort": self._rollback, "savepoint": self._savepoint, "release": self._release,
-            "prepare": self._prepare, "execute": self._execute, "deallocate": self._deallocate, "comment": self._comment, "do": self._do,
+            "prepare": self._prepare, "execute": self._execute, "deallocate": self._deallocate, "comment": self._comment, "do": self._do, "refresh": self._refresh,
         }
-        if head in ("vacuum", "analyze", "reindex", "cluster", "refresh", "discard", "listen", "notify", "lock"):
+        if head in ("vacuum", "analyze", "reindex", "cluster", "discard", "listen", "notify", "lock"):
             return None
         if head not in special:
             raise ValueError(f'syntax error at or near "{tokens[0].text}"')
@@ -234,17 +239,21 @@ class Engine:
     def _store(self, name: str, df: DataFrame) -> None:
         self._changes[name] = self._changes.get(name, 0) + 1
         if self._changes[name] % CUT_AFTER == 0:
-            sc = self.spark.sparkContext
-            if not sc.getCheckpointDir():
-                import tempfile
-
-                folder = sc.getConf().get("spark.checkpoint.dir")
-                if not folder and not sc.master.startswith("local["):
-                    raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-                sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="larkspan-"))
-            df = df.checkpoint()
+            df = self._written(df)
         self.tables[name] = df
 
+    def _written(self, df: DataFrame) -> DataFrame:
+        """The rows as they are now, in the cluster's shared folder."""
+        sc = self.spark.sparkContext
+        if not sc.getCheckpointDir():
+            import tempfile
+
+            folder = sc.getConf().get("spark.checkpoint.dir")
+            if not folder and not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="larkspan-"))
+        return df.checkpoint()
+
     def _fire(self, name: str, timing: str, event: str, rows: DataFrame) -> DataFrame:
         for t in self.triggers:
             if t.table == name and t.timing == timing and t.event == event:
@@ -468,10 +477,20 @@ class Engine:
             return self._create_table(name, split_list(tokens[at + 2 : closing(tokens, at + 1)]))
         if kind == "view":
             k = next(k for k in range(at, len(tokens)) if tokens[k].low == "as" and not _inside(tokens, k))
-            text = text_of_source(tokens[k + 1 :])
+            stored, body = "materialized" in words[:at], tokens[k + 1 :]
+            if exists_ok and name in self.views:
+                return None
+            empty = stored and [t.low for t in body[-3:]] == ["with", "no", "data"]
+            if stored and body[-1].low == "data":
+                body = body[: -3 if empty else -2]
+            text = text_of_source(body)
             if k > at + 1 and tokens[at + 1].text == "(":
                 text = f"SELECT * FROM ({text}) AS v({', '.join(t.text for t in tokens[at + 2 : k - 1] if t.text != ',')})"
+            self.stored.pop(name, None)
+            rows = self._written(self.query(text)) if stored and not empty else None
             self.views[name] = text
+            if stored:
+                self.stored[name] = rows
             return None
         if kind == "schema":
             self.schemas.add(name)
@@ -630,6 +649,19 @@ class Engine:
                 if kind == "table" and name in place:
                     self.authority.drop_table(name)
                 place.pop(name, None)
+                if kind == "view":
+                    self.stored.pop(name, None)
+
+    def _refresh(self, tokens: list[Token]) -> None:
+        """REFRESH MATERIALIZED VIEW [CONCURRENTLY] name [WITH [NO] DATA]: its query runs again."""
+        words = [t.low for t in tokens]
+        tail = words[-3:] == ["with", "no", "data"]
+        names = tokens[4 if "concurrently" in words[3:4] else 3 :]
+        names = names[: next((i for i, t in enumerate(names) if t.low == "with"), len(names))]
+        name = self._plain("".join(t.text for t in names))
+        if words[1:3] != ["materialized", "view"] or name not in self.stored:
+            raise ValueError(f'"{name}" is not a materialized view')
+        self.stored[name] = None if tail else self._written(self.query(self.views[name]))
 
     def _alter(self, tokens: list[Token]) -> None:
         words = [t.low for t in tokens]
@@ -801,7 +833,7 @@ class Engine:
     # ---- transactions: DataFrames are immutable, so a snapshot is a copy of the names ----
 
     def _state(self) -> dict:
-        return {k: dict(getattr(self, k)) for k in ("tables", "views", "functions", "not_null", "checks", "unique", "defaults", "indexes")}
+        return {k: dict(getattr(self, k)) for k in ("tables", "views", "stored", "functions", "not_null", "checks", "unique", "defaults", "indexes")}
 
     def _begin(self, tokens: list[Token]) -> None:
         if not self._saved:

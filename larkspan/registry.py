@@ -26,5 +26,5 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-for _m in ("relational", "analysis", "scalars", "rich", "front"):
+for _m in ("relational", "analysis", "scalars", "rich", "front", "more"):
     import_module(f"larkspan.queries.{_m}")

@@ -247,3 +247,27 @@ def test_lexer():
     assert [t.text for t in lex("a->>'x''y' -- c\n<= $1 /* z */ ::int")] == ["a", "->>", "x'y", "<=", "$1", "::", "int"]
     assert split_statements("SELECT ';'; ; SELECT $$;$$") == ["SELECT ';'", "SELECT $$;$$"]
     assert to_spark('SELECT "A b" FROM t FETCH FIRST 3 ROWS ONLY') == "SELECT `A b` FROM t LIMIT 3"
+
+
+def test_materialized_views_hold_their_rows(db):
+    db.script("CREATE TABLE base (x int); INSERT INTO base VALUES (1), (2); CREATE MATERIALIZED VIEW held (y) AS SELECT x * 10 FROM base; CREATE MATERIALIZED VIEW later AS SELECT x FROM base WITH NO DATA")
+    db.sql("INSERT INTO base VALUES (3)")
+    assert rows(db.sql("SELECT y FROM held ORDER BY y")) == [(10,), (20,)]
+    with pytest.raises(ValueError, match="not been populated"):
+        db.sql("SELECT x FROM later")
+    db.script("REFRESH MATERIALIZED VIEW CONCURRENTLY held; REFRESH MATERIALIZED VIEW later WITH DATA")
+    assert rows(db.sql("SELECT y FROM held ORDER BY y")) == [(10,), (20,), (30,)] and rows(db.sql("SELECT count(*) FROM later")) == [(3,)]
+    db.script("BEGIN; DELETE FROM base; REFRESH MATERIALIZED VIEW held; ROLLBACK")
+    assert rows(db.sql("SELECT count(*) FROM held")) == [(3,)]
+    with pytest.raises(ValueError, match="not a materialized view"):
+        db.sql("REFRESH MATERIALIZED VIEW base")
+    db.sql("DROP MATERIALIZED VIEW held")
+    with pytest.raises(Exception, match="cannot be found"):
+        db.sql("SELECT y FROM held")
+
+
+def test_interval_with_unit_and_frame_offset(db):
+    db.script("CREATE TABLE at (t timestamp); INSERT INTO at VALUES ('2024-01-01'), ('2024-01-02 12:00:00'), ('2024-01-05')")
+    assert rows(db.sql("SELECT count(*) OVER (ORDER BY t RANGE BETWEEN INTERVAL '2' DAY PRECEDING AND CURRENT ROW) AS n FROM at ORDER BY t")) == [(1,), (2,), (1,)]
+    with pytest.raises(ValueError, match="months are not supported"):
+        db.sql("SELECT count(*) OVER (ORDER BY t RANGE BETWEEN INTERVAL '1 month' PRECEDING AND CURRENT ROW) FROM at")
