@@ -235,6 +235,20 @@ def to_number(s, fmt: str = "") -> Column:
     return F.when(negative, -value).otherwise(value)
 
 
+def grouped(x, places: int) -> Column:
+    """A double as text with commas and so many places, as printf shows it: its binary value rounded half to even, and a sign on -0.0 and on what rounds to it.
+
+    Behind 15 digits in all, zeros may follow the shortest digits that tell the number.
+    """
+    x = col(x).cast("double")
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x.cast("string")).otherwise(F.format_number(x, places))
+
+
+def fixed(x, places: int) -> Column:
+    """grouped() without the commas."""
+    return F.replace(grouped(x, places), F.lit(","), F.lit(""))
+
+
 def to_char_number(x, fmt: str) -> Column:
     """to_char(number, fmt) for formats of 9, 0, G, D, comma and point, with FM."""
     trim = fmt.startswith("FM")

@@ -67,7 +67,7 @@ def math_more(spark, sf):
 def math_special(spark, sf):
     k = F.col("c_custkey")
     x = maths.parse_float(F.when(k % 5 == 0, "NaN").when(k % 5 == 1, "-infinity").when(k % 5 == 2, "Infinity").otherwise(k.cast("string")))
-    return table(spark, sf, "customer").select(k.alias("k"), F.isnan(x).alias("nan_"), maths.is_finite(x).alias("fin"), F.when(maths.is_finite(x), x).alias("x"), maths.trim_scale(F.col("c_acctbal").cast("decimal(14,4)")).alias("t"))
+    return table(spark, sf, "customer").select(k.alias("k"), F.isnan(x).alias("nan_"), maths.is_finite(x).alias("fin"), F.when(maths.is_finite(x), x).alias("x"), maths.trim_scale(s.fixed("c_acctbal", 4)).alias("t"))
 
 
 @query("date_trunc_long", "SELECT o_orderkey AS k, make_timestamp(y - y % 10, 1, 1, 0, 0, 0.0) AS a, make_timestamp((y - 1) // 100 * 100 + 1, 1, 1, 0, 0, 0.0) AS b, make_timestamp((y - 1) // 1000 * 1000 + 1, 1, 1, 0, 0, 0.0) AS c FROM (SELECT o_orderkey, year(o_orderdate) + o_orderkey % 40 AS y FROM orders)")
