@@ -250,14 +250,18 @@ def fixed(x, places: int) -> Column:
 
 
 def to_char_number(x, fmt: str) -> Column:
-    """to_char(number, fmt) for formats of 9, 0, G, D, comma and point, with FM."""
+    """to_char(number, fmt) for formats of 9, 0, G, D, comma and point, with FM.
+
+    Doubles are rounded as binary numbers and keep their sign when they round to zero; other numbers are rounded half away from zero, and zero has no sign.
+    """
     trim = fmt.startswith("FM")
     body = fmt.removeprefix("FM").replace("G", ",").replace("D", ".")
     whole, _, fraction = body.partition(".")
     places = len(fraction)
     width = len(whole) + 1 + (1 + places if places else 0)
-    number = F.abs(F.round(col(x).cast("decimal(38,10)"), places))
-    digits = F.format_number(number, places)
+    number = F.round(col(x).cast("decimal(38,10)"), places)
+    signed = F.when(F.typeof(col(x)).isin("double", "float"), grouped(x, places)).otherwise(F.format_number(number, places))
+    digits = F.ltrim(signed, F.lit("-"))
     if "," not in whole:
         digits = F.replace(digits, F.lit(","), F.lit(""))
     least = len(whole.replace(",", "")) - (whole.replace(",", "").find("0") if "0" in whole else len(whole.replace(",", "")))
@@ -267,7 +271,8 @@ def to_char_number(x, fmt: str) -> Column:
         head = F.when(F.length(head) < least, F.lpad(head, least, "0")).otherwise(head)
     elif places:
         head = F.when(head == "0", F.lit("")).otherwise(head)
-    shown = F.concat(F.when(col(x) < 0, F.lit("-")).otherwise(F.lit("")), head, tail)
+    shown = F.concat(F.when(signed.startswith("-"), F.lit("-")).otherwise(F.lit("")), head, tail)
+    shown = F.when(signed.rlike("[a-z]"), signed).otherwise(shown)  # NaN and the infinities
     if trim:
         nines = len(fraction) - len(fraction.rstrip("9"))
         return F.regexp_replace(shown, "0{0,%d}$" % nines, "") if places and nines else shown

@@ -41,3 +41,14 @@ def test_fixed_rounds_as_printf(spark):
 def test_trimmed_balances_match_the_twin(spark, customers):
     got, want = same(spark, customers, "math_special")
     assert got == want and got[1][4] == "-0"
+
+
+def test_shown_balances_match_the_twin(spark, customers):
+    got, want = same(spark, customers, "num_to_char")
+    assert got == want and got[1][1:3] == ("          -0.00", "-0.00")
+
+
+def test_to_char_signs_and_rounding(spark):
+    df = spark.sql("SELECT -0.001D AS d, CAST(-0.001 AS DECIMAL(9,3)) AS n, -7 AS i, 0.125D AS h, CAST(0.125 AS DECIMAL(9,3)) AS g, CAST(-0.0 AS FLOAT) AS f, CAST(NULL AS DOUBLE) AS z, -1234567.5D AS w, CAST('-Infinity' AS DOUBLE) AS y")
+    got = df.select(*[s.to_char_number(c, "FM999,999,990.00") for c in "dnihgfzwy"]).first()
+    assert tuple(got) == ("-0.00", "0.00", "-7.00", "0.12", "0.13", "0.00", None, "-1,234,567.50", "-Infinity")
