@@ -22,11 +22,11 @@ from larkspan.llm.textkernel import words
 
 #: Sources by code point get these weights in turn.
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Tokens up to which the dynamic programme fits the remaining budget exactly.
+#: Half of it is left at least to the dynamic programme, which fits what remains of the budget exactly.
 EXACT_BUDGET = 1 << 14
-#: Sources with longer documents keep so many of the longest for it, up to so many tokens.
-LONGEST, MOST_EXACT = 4, 1 << 24
-#: Bits of all steps of one programme.
+#: Sources with longer documents leave it so many of the longest.
+LONGEST = 4
+#: Bits of the sums that one programme holds, 8 sums at least; more steps are worked out again instead.
 CELLS = 1 << 29
 #: Documents of one length that are ranked in one task.
 RANKED = 1_000
@@ -69,53 +69,75 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     """How many of each length to take so that the sum comes as close to the budget from below as it can.
 
     Reachable sums are the bits of one integer; a count is split into powers of
-    two. The steps are walked back to find the counts.
+    two. The steps are walked back to find the counts. As many integers are kept
+    for that as CELLS bits hold, 8 at least; for further steps the later half is
+    walked first and the sums before it are worked out again. Lengths are spread
+    over the order of the steps, which ends where the budget is reached.
     """
     take = np.zeros(len(lengths), np.int64)
+    falling = np.argsort(-lengths, kind="stable")
+    stride = math.isqrt(len(lengths)) or 1
     mask = (1 << (budget + 1)) - 1
     reached, steps = 1, []
-    for i in np.argsort(-lengths, kind="stable"):
-        size, n = int(lengths[i]), min(int(counts[i]), budget // int(lengths[i])) if lengths[i] > 0 else 0
-        k = 1
-        while n > 0:
+    for i in (i for k in range(stride) for i in falling[k::stride] if lengths[i] > 0):
+        size = int(lengths[i])
+        n, k = min(int(counts[i]), budget // size), 1
+        while n > 0 and not reached >> budget & 1:
             k = min(k, n)
-            steps.append((i, k, size * k, reached))
+            steps.append((i, k, size * k))
             reached |= (reached << (size * k)) & mask
             n -= k
             k *= 2
         if reached >> budget & 1:
             break
-    at = reached.bit_length() - 1
-    for i, k, total, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += k
-            at -= total
+
+    def reach(reached: int, first: int, last: int, most: int) -> tuple[int, int]:
+        """Sums up to `most` after the steps from first to last, and the step at which `most` was among them."""
+        mask = (1 << (most + 1)) - 1
+        reached &= mask
+        while first < last and not reached >> most & 1:
+            reached |= (reached << steps[first][2]) & mask
+            first += 1
+        return reached, first
+
+    at, most = reached.bit_length() - 1, max(8, CELLS // (budget + 1))
+    del reached
+    parts = [(0, len(steps), 1)]  # steps still to be walked back, the latest on top, and the sums before them
+    while parts:
+        first, last, before = parts.pop()
+        if last - first > most:
+            middle = (first + last) // 2
+            half, end = reach(before, first, middle, at)
+            # if the sum is reached within the first half, the other steps are not taken
+            parts += [(first, end, before)] if half >> at & 1 else [(first, middle, before), (middle, last, half)]
+            continue
+        sums = [before]
+        for j in range(first, last):
+            sums.append(reach(sums[-1], j, j + 1, at)[0])
+        for j in range(last - 1, first - 1, -1):
+            i, k, total = steps[j]
+            if not sums[j - first] >> at & 1:
+                take[i] += k
+                at -= total
     return take
 
 
 def exact(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """knapsack() in units of the lengths' common divisor; where its steps would hold over CELLS bits, over evenly spaced lengths and then over all for what is left."""
+    """knapsack() over all lengths up to the budget, in units of their common divisor."""
     some = np.flatnonzero((lengths > 0) & (lengths <= budget) & (counts > 0))
     take = np.zeros(len(lengths), np.int64)
-    if not len(some):
-        return take
-    unit = int(np.gcd.reduce(lengths[some]))
-    steps = np.ceil(np.log2(np.minimum(counts[some], budget // lengths[some]) + 1))
-    most = CELLS // (budget // unit + 1)
-    whole = int(steps.sum()) <= most
-    if not whole:
-        k = max(1, int(most // steps.max()))
-        some = some[np.unique(np.linspace(0, len(some) - 1, k).astype(np.int64))]
-    take[some] = knapsack(lengths[some] // unit, counts[some], budget // unit)
-    left = budget - int((lengths * take).sum())
-    return take if whole or not 0 < left <= budget // 2 else take + exact(lengths, counts - take, left)
+    if len(some):
+        unit = int(np.gcd.reduce(lengths[some]))
+        take[some] = knapsack(lengths[some] // unit, counts[some], budget // unit)
+    return take
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
     """Counts to take of each length, at most `counts`, with a sum as close to the budget as can be found.
 
     Every length is taken in proportion, rounded down, less a reserve; long
-    documents fill the rest until it is small enough for the exact programme.
+    documents fill the rest down to the reserve, for which the exact programme
+    has all that is left of every length.
     """
     budget = int(round(budget))
     total = int((lengths * counts).sum())
@@ -123,7 +145,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
         return counts.copy()
     if budget <= 0:
         return np.zeros(len(lengths), np.int64)
-    reserve = max(EXACT_BUDGET // 2, min(LONGEST * int(lengths[counts > 0].max()), MOST_EXACT))
+    reserve = max(EXACT_BUDGET // 2, LONGEST * int(lengths[counts > 0].max()))
     take = np.floor(counts * (max(0, budget - reserve) / total)).astype(np.int64)
     left = budget - int((lengths * take).sum())
     for i in np.argsort(-lengths, kind="stable"):
@@ -132,7 +154,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
         n = min(int(counts[i] - take[i]), max(0, (left - reserve // 2) // int(lengths[i])))
         take[i] += n
         left -= n * int(lengths[i])
-    if 0 < left <= max(2 * EXACT_BUDGET, reserve):
+    if left > 0:
         more = exact(lengths, counts - take, left)
         take += more
         left -= int((more * lengths).sum())
